@@ -112,10 +112,10 @@ def hashtag_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {fx.TOKS}, pairs AS ({_PAIRS.format(keys="a.postedDate,",
                                                     src=_TAGS.format("('#', '@')"))}),
-both AS (SELECT postedDate, tok1, tok2, count FROM pairs
+two_way AS (SELECT postedDate, tok1, tok2, count FROM pairs
          UNION ALL SELECT postedDate, tok2, tok1, count FROM pairs)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY postedDate, tok1
-    ORDER BY count DESC, tok2) AS INTEGER) AS rank FROM both) WHERE rank <= 3""")
+    ORDER BY count DESC, tok2) AS INTEGER) AS rank FROM two_way) WHERE rank <= 3""")
 def top_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Most frequent partners of each tag and day, from either direction."""
     pairs = counters.pair_counts(fx.toks(spark, sf_dir), tokens=tx.tags_and_handles(TOKENS))

@@ -72,7 +72,10 @@ core(turn, src, dst, w) AS (
   UNION ALL
   SELECT turn + 1, src, dst, w FROM core
   WHERE src IN ({strong}) AND dst IN ({strong}) AND EXISTS ({weak}))
-SELECT src, dst, w FROM core WHERE turn = (SELECT max(turn) FROM core)"""
+SELECT src, dst, w FROM core WHERE turn = (SELECT max(turn) FROM core)
+  AND {k} <= ALL (SELECT count(*) FROM (SELECT turn, src AS id FROM core
+                  UNION ALL SELECT turn, dst FROM core)
+                  WHERE turn = (SELECT max(turn) FROM core) GROUP BY id)"""
 
 
 @query(_core_sql(2))

@@ -252,9 +252,8 @@ def cloud_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(counts, ["role"], 20, ties=["word"]).drop("rank")
 
 
-@query("""SELECT doc_id, source, CAST(try_strptime(source, '%Y-%m-%d') AS DATE) AS parsed
-FROM documents""")
+@query("""SELECT event_id, CASE WHEN day(ts) > 9 THEN CAST(ts AS DATE) END AS parsed FROM events""")
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strict date parsing; anything else gives NULL."""
-    return fx.table(spark, sf_dir, "documents").select(
-        "doc_id", "source", tx.parse_date("source").alias("parsed"))
+    """Strict date parsing: a day written with one digit gives NULL."""
+    return fx.table(spark, sf_dir, "events").select(
+        "event_id", tx.parse_date(F.date_format("ts", "yyyy-MM-d")).alias("parsed"))
