@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from murmura.operators.ranking import top_n
-from murmura.operators.skew import HOT_ROWS, hot_keys, join_unique, with_global_order
-from murmura.runtime import materialize
+from murmura.operators.skew import hot_keys, join_unique, with_global_order
+from murmura.runtime import BROADCAST_ROWS, materialize
 from murmura.schema import COUNT
 
 
@@ -159,13 +159,14 @@ def _modularity(links: DataFrame, labels: DataFrame, resolution: float) -> DataF
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 30,
-                quiet_rounds: int = 2, tolerance: float = 1e-6, max_levels: int = 12) -> DataFrame:
+                settled: float = 0.01, tolerance: float = 1e-6, max_levels: int = 12) -> DataFrame:
     """Communities of high modularity: ``id, community``, by parallel Louvain.
 
     In each round a pseudo-random half of the nodes may move to the neighbouring
     community with the largest gain; the other half stays, which keeps two nodes
-    from swapping for ever. When moves stop, communities become nodes and the next
-    level begins, until modularity no longer grows. A larger ``resolution`` gives
+    from swapping for ever. When less than the share ``settled`` of the nodes wants to
+    move, communities become nodes and the next level begins, until modularity no
+    longer grows. A larger ``resolution`` gives
     smaller communities. Community 0 is the largest; ties go to the smaller id.
     """
     links = materialize(undirected(edges), "links")
@@ -174,7 +175,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 30,
     best = None
     best_q = float("-inf")
     for level in range(max_levels):
-        labels = _move_nodes(links, resolution, level, max_rounds, quiet_rounds)
+        labels = _move_nodes(links, resolution, level, max_rounds, settled)
         if mapping is None:
             mapping = labels
         else:
@@ -200,7 +201,7 @@ def _contract(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _move_nodes(links: DataFrame, resolution: float, level: int, max_rounds: int,
-                quiet_rounds: int) -> DataFrame:
+                settled: float) -> DataFrame:
     state = materialize(node_weights(links).withColumn("community", F.col("id")), "state")
     node_count, m2 = state.agg(F.count("*"), F.sum("k")).first()
     turned = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("nb")),
@@ -210,22 +211,26 @@ def _move_nodes(links: DataFrame, resolution: float, level: int, max_rounds: int
     # Both columns hold the same ids equally often, so one list serves either join.
     hot = hot_keys(around, "id")
     around = materialize(join_unique(around, state.select("id", "k"), "id", hot=hot), "around")
-    quiet = 0
     for turn in range(max_rounds):
-        if quiet >= quiet_rounds:
+        state, wanting = _one_round(around, state, m2, resolution, level, turn, hot,
+                                    node_count <= BROADCAST_ROWS)
+        if wanting <= settled * node_count:
             break
-        crowded = hot_keys(state, "community") if node_count > HOT_ROWS else []
-        state, wanting = _one_round(around, state, m2, resolution, level, turn, hot, crowded)
-        quiet = 0 if wanting else quiet + 1
     return state.select("id", "community")
 
 
 def _one_round(around: DataFrame, state: DataFrame, m2: float, resolution: float, level: int,
-               turn: int, hot: list, crowded: list) -> tuple[DataFrame, int]:
+               turn: int, hot: list, few: bool) -> tuple[DataFrame, int]:
     totals = state.groupBy("community").agg(F.sum("k").alias("total"))
-    placed = join_unique(state, totals, "community", hot=crowded)
-    at = placed.select(F.col("id").alias("nb"), "community", "total")
-    towards = (join_unique(around, at, "nb", hot=hot)
+    if few:  # one row per node, and the nodes were counted
+        placed = state.join(F.broadcast(totals), "community")
+        at = F.broadcast(placed.select(F.col("id").alias("nb"), "community", "total"))
+        seen_from = around.join(at, "nb")
+    else:
+        placed = join_unique(state, totals, "community")
+        at = placed.select(F.col("id").alias("nb"), "community", "total")
+        seen_from = join_unique(around, at, "nb", hot=hot)
+    towards = (seen_from
                .groupBy("id", "community")
                .agg(F.sum("w").alias("inward"), F.max("k").alias("k"),
                     F.max("total").alias("total")))
@@ -242,7 +247,7 @@ def _one_round(around: DataFrame, state: DataFrame, m2: float, resolution: float
     wants = (F.col("choice") != F.col("mine")) & (F.col("gain") > F.col("stay"))
     may_move = F.pmod(F.xxhash64("id", F.lit(turn), F.lit(level)), F.lit(2)) == 0
     seen = Observation()
-    decided = (own.join(best, "id", "left")
+    decided = (own.join(F.broadcast(best) if few else best, "id", "left")
                .select("id", "k", "mine", "choice",
                        F.coalesce(wants, F.lit(False)).alias("wants"))
                .observe(seen, F.count_if("wants").alias("wanting")))
