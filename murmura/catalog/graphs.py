@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from murmura.operators.layout import layout, layout_file, layout_fixed
 from murmura.plans import reports
 from murmura.runtime import materialize, scratch_path
 from murmura.schema import TOKENS
-from murmura.sources import tables
+from murmura.sources import registry, tables
 
 TERM = "#click"
 
@@ -302,6 +304,28 @@ def words_per_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.community_wordcloud(fx.turns(spark, sf_dir), 25, group="role", tokens=TOKENS)
 
 
+@query(f"WITH {fx.PLANTED} SELECT id AS uid, community FROM labels")
+def cached_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members stored twice under one query key and read before they expire."""
+    root, now = scratch_path(spark, "members"), datetime(2024, 1, 1)
+    labels = _planted(_kept_edges(spark, sf_dir))
+    key = reports.key_of(spark, TERM)
+    for _ in range(2):
+        registry.save_membership(root, key, labels, now)
+    return registry.read_membership(spark, root, key, now + timedelta(seconds=599))
+
+
+@query(f"""WITH {fx.SHARES}
+SELECT post_id, uid, ouid, sentiment, CAST(len(toks) AS INTEGER) AS n_toks FROM shares
+WHERE postedDate >= '2024-01-05' AND postedDate < '2024-01-12'""")
+def loaded_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts written by date; the share slice of a week is read from its folders."""
+    root = scratch_path(spark, "posts")
+    tables.write_posts(fx.posts(spark, sf_dir), root)
+    week = reports.load_slice(spark, root, "2024-01-05", "2024-01-12")
+    return week.select("post_id", "uid", "ouid", "sentiment", F.size(TOKENS).alias("n_toks"))
+
+
 # --- layout and whole reports -------------------------------------------------------
 
 @query()

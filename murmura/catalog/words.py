@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +11,13 @@ from pyspark.sql import functions as F
 
 from murmura.catalog import fixtures as fx
 from murmura.catalog.registry import query
-from murmura.operators import counters, enrich, vectors
+from murmura.operators import counters, enrich, ranking, vectors
 from murmura.plans import reports
 from murmura.plans.ingest import Ingest
 from murmura.runtime import materialize, scratch_path
 from murmura.schema import DATE
 from murmura.sources import activities as files
+from murmura.sources import registry
 from murmura.streaming import current_counts, start_counts, start_ingest, windowed_entity_counts
 
 DAY = "2024-01-15"
@@ -138,6 +141,28 @@ def topic_story(spark: SparkSession, sf_dir: str) -> DataFrame:
     return story.words
 
 
+@query()
+def related_terms_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON answer of the related-terms report."""
+    counts = counters.entity_counts(fx.toks(spark, sf_dir))
+    found = reports.related_terms(_words(spark, sf_dir), counts, DAY, "#click", 5)
+    return reports.related_terms_json(found, "#click", ranking.term_count(counts, DAY, "#click"))
+
+
+@query()
+def model_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two daily models saved; the registry names the newer one."""
+    folder = scratch_path(spark, "models")
+    toks = materialize(fx.toks(spark, sf_dir), "toks")
+    for day in (1, 2):
+        date = f"2024-01-0{day}"
+        model = vectors.train_terms(toks.filter(F.col(DATE) == date), vector_size=10,
+                                    iterations=1, min_count=2)
+        registry.save_model(model, folder, date, datetime(2024, 1, day), spark)
+    models = spark.read.parquet(f"{folder}/registry").agg(F.count("*").alias("models"))
+    return registry.latest_model(spark, folder).select("date", models.scalar().alias("models"))
+
+
 def _record_files(spark: SparkSession, sf_dir: str) -> str:
     folder = scratch_path(spark, "incoming")
     files.write_activities(fx.activities(spark, sf_dir), folder)

@@ -127,14 +127,19 @@ def protected_span(tag: str, countries: tuple[str, ...], inside: bool = False) -
 def token_pattern(countries: tuple[str, ...]) -> str:
     """A protected span, or non-blanks up to the next one.
 
-    Two shortcuts take letters where no span can begin: a whole word of letters
-    (but no title such as ``Dr.``), and a letter other than ``h`` between letters.
-    The possessive repeat keeps the matcher iterative on words of any length.
+    Shortcuts decide the common cases without trying every span: a whole word of
+    letters (but no title such as ``Dr.``), a lone comma or full stop after a letter,
+    and a letter other than ``h`` between letters. A blank can only begin initials
+    without a last dot. The possessive repeat keeps the matcher iterative on words of
+    any length.
     """
     plain_word = rf"(?<![^ ])(?!{TITLES})[A-Za-z]++(?=[.,]?(?: |$))"
+    lone_stop = "(?<=[A-Za-z])[.,](?= |$)"
+    not_blank = r"(?! (?![A-Za-z]\.))"
     plain_letter = "(?<=[A-Za-z])[A-Za-gi-z](?=[A-Za-z])"
     inside = protected_span("n", countries, inside=True)
-    return rf"{plain_word}|{protected_span('s', countries)}|\S(?:{plain_letter}|(?!{inside})\S)*+"
+    return (f"{plain_word}|{lone_stop}|{not_blank}{protected_span('s', countries)}"
+            rf"|\S(?:{plain_letter}|(?!{inside})\S)*+")
 
 
 def unescape_html(text: Column) -> Column:

@@ -107,3 +107,17 @@ def test_word_list(spark, tmp_path):
     assert tx.load_words(spark, str(path)) == ["a", "b", "c"]
     with pytest.raises(ValueError):
         tx.load_words(spark, str(path), limit=2)
+
+
+def test_shortcuts_change_no_token(spark, small):
+    from murmura.functions import tweet_tokens as tt
+    codes = tt.country_codes()
+    plain = (tt.protected_span("s", codes)
+             + rf"|\S(?:(?!{tt.protected_span('n', codes)})\S)*+")
+    texts = spark.read.parquet(f"{small}/documents.parquet").select("text").unionByName(
+        spark.read.parquet(f"{small}/pages.parquet").select(F.col("html").alias("text")))
+    ready = texts.repartition(8).select(
+        tt.split_edge_punctuation(tt.squeeze_blanks(tt.unescape_html(F.col("text")))).alias("t"))
+    both = ready.select(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(n)
+                          for n, p in (("a", plain), ("b", tt.token_pattern(codes)))])
+    assert both.filter("a <> b").count() == 0
