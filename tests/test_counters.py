@@ -103,3 +103,12 @@ def test_top_n_limits_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.col("id").alias("count"))
     plan = ranking.top_n(df, ["g"], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_a_days_report_reads_that_day_only(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.merge_counts(path, counters.entity_counts(toks(spark)), 0, datetime(2024, 1, 2))
+    top = ranking.top_terms(store.read_counts(spark, path), 3, "2024-01-02")
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(postedDate" in plan
+    assert {r.postedDate for r in top.collect()} == {"2024-01-02"}
