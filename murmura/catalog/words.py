@@ -174,7 +174,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest job as a file stream in several micro-batches: same counts."""
     folder = _record_files(spark, sf_dir)
     job = Ingest(scratch_path(spark, "ingest"), fx.lexicon(spark), fx.EXCLUDED,
-                 enrich=fx.PLAIN)
+                 rebalance=True, enrich=fx.PLAIN)
     stream = files.read_activity_stream(spark, folder, files_per_trigger=3)
     start_ingest(stream, job, scratch_path(spark, "checkpoint"), None).awaitTermination()
     return job.read_counts(spark).drop("updated_at")
@@ -201,7 +201,7 @@ def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ingest job over JSON files, run twice as one batch: authors count once."""
     folder = _record_files(spark, sf_dir)
     job = Ingest(scratch_path(spark, "ingest"), fx.lexicon(spark), fx.EXCLUDED,
-                 enrich=fx.PLAIN)
+                 rebalance=True, enrich=fx.PLAIN)
     for _ in range(2):
         job.run(files.read_activities(spark, f"{folder}/*.json.gz"), 0)
     return job.read_counts(spark, "authors").drop("updated_at")

@@ -49,8 +49,9 @@ def score_by_join(posts: DataFrame, lexicon: DataFrame, key: str, tokens: str =
     Tokens are reduced to one (sum, hits) row per post before anything is joined
     back; posts without a hit stay and are neutral.
     """
-    hits = (posts.select(key, F.explode(tokens).alias("word"))
-            .join(lexicon, "word")
+    # explode_outer: a plain explode would push a copy of the token expression below it.
+    hits = (posts.select(key, F.explode_outer(tokens).alias("word"))
+            .filter(F.col("word").isNotNull()).join(lexicon, "word")
             .groupBy(key)
             .agg(F.avg(F.col("positive") - F.col("negative")).alias("_mean")))
     scored = posts.join(hits, key, "left")

@@ -38,7 +38,8 @@ def windowed_entity_counts(stream: DataFrame, width: str = "1 day", watermark: s
     posts = with_tokens(english(stream), **tokens)
     terms = (posts.withColumn("posted_at", F.try_to_timestamp("postedTime"))
              .withWatermark("posted_at", watermark)
-             .select("posted_at", F.explode(TOKENS).alias("term")))
+             .select("posted_at", F.explode_outer(TOKENS).alias("term"))
+             .filter(F.col("term").isNotNull()))
     counted = (terms.groupBy(F.window("posted_at", width).alias("w"), "term")
                .agg(F.count("*").alias(COUNT)))
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"),

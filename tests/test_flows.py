@@ -1,4 +1,5 @@
 import json
+import os
 import shutil
 from datetime import datetime
 
@@ -25,10 +26,12 @@ def test_stream_equals_batch_skips_unfinished_files_and_restarts(spark, small, t
     files.write_activities(acts.repartition(4), str(made))
     inbox.mkdir()
     parts = part_files(made)
-    for p in parts[:2]:
+    for age, p in enumerate(parts[:2]):
         shutil.copy(p, inbox / p.name)
+        os.utime(inbox / p.name, (1_700_000_000 + age, 1_700_000_000 + age))  # fixes the order
     shutil.copy(parts[2], inbox / (parts[2].name + "_WRITING_"))
-    job = Ingest(str(tmp_path / "out"), fx.lexicon(spark), fx.EXCLUDED, enrich=fx.PLAIN)
+    job = Ingest(str(tmp_path / "out"), fx.lexicon(spark), fx.EXCLUDED, rebalance=True,
+                 enrich=fx.PLAIN)
 
     def run():
         stream = files.read_activity_stream(spark, str(inbox), files_per_trigger=1)
