@@ -15,10 +15,8 @@ for, rank of the merge that made it), and whether it has an arc w follows from t
    the state the label led to when it was made.
 Answers are kept, which makes the transition table that words are run through.
 
-Encoding. Text is pre-split as the tokenizer file says; a word's bytes are read left to right
-through the byte trie of the tokens and the transition table. Every prefix of a word has one
-path, so each position keeps one arc and the word's path is read back from its end. Decoding
-joins the bytes of the arc labels.
+Encoding. Text is pre-split as the tokenizer file says, and a word's bytes are run through the
+transition table. Decoding joins the bytes of the arc labels.
 """
 
 from __future__ import annotations
@@ -37,9 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from murmura.llm.common import ROWS_OUT, table
+from murmura.llm.encoding import KEEP, LATIN_WORD, Recent, word_and_stops
 
-KEEP = 400_000
-LONGEST_KEPT = 64
 START = -1
 CHUNK = re.compile(r"\s*\S+|\s+")
 """A run of blanks and the word after it: no pattern of a byte-level split crosses its bounds."""
@@ -77,12 +74,12 @@ class Automaton:
                 raise ValueError("two merges make the same token")
             made.add(label)
             self.add_gadget(rank, u, v, label)
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.child: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
-        for label, data in self.text.items():
-            if label not in self.dead and (label in made or len(data) == 1):
-                self.add_to_trie(data, label)
+        self.arcs: dict[int, bool] = {}
+        self.tokens = {data: label for label, data in self.text.items()
+                       if label not in self.dead and (label in made or len(data) == 1)}
+        self.longest: dict[bytes, int] = {}
+        for data in self.tokens:
+            self.longest[data[:2]] = max(self.longest.get(data[:2], 1), len(data))
 
     def state(self, label: int) -> tuple[int, int]:
         """Where arcs of this label lead now: the newest state made for it, or its first one."""
@@ -112,50 +109,48 @@ class Automaton:
             owner, since = (owner, self.cuts[owner][older - 1]) if older else self.base[owner]
         return True
 
-    def add_to_trie(self, data: bytes, label: int) -> None:
-        node = 0
-        for byte in data:
-            key = node << 8 | byte
-            if key not in self.child:
-                self.child[key] = len(self.token_at)
-                self.token_at.append(-1)
-            node = self.child[key]
-        self.token_at[node] = label
+    def has_arc(self, previous: int, label: int) -> bool:
+        """Table entry: whether an arc ``label`` leaves the state that ``previous`` leads to."""
+        key = previous << 32 | label
+        there = self.arcs.get(key)
+        if there is None:
+            if len(self.arcs) >= 4 * KEEP:
+                self.arcs.clear()
+            there = self.arcs[key] = self.follows(self.state(previous), label)
+        return there
 
     def encode(self, word: bytes) -> list[int]:
-        """Labels of the word's path."""
-        size, child, token_at, arcs = len(word), self.child, self.token_at, self.arcs
-        last, came = [-2] * (size + 1), [0] * (size + 1)
-        last[0] = START
-        for at in range(size):
-            previous = last[at]
-            if previous == -2:
-                continue
-            node = 0
-            for end in range(at, size):
-                node = child.get(node << 8 | word[end], -1)
-                if node < 0:
+        """Labels of the word's path.
+
+        Only one path reads a given prefix, so a position has one state. Longer arcs are tried
+        first; a position from which the end can't be reached is marked and never entered again.
+        """
+        size, tokens, longest = len(word), self.tokens, self.longest
+        path: list[int] = []
+        steps: list[tuple[int, int]] = []
+        barred: set[int] = set()
+        at, length = 0, min(size, longest.get(word[:2], 1))
+        while at < size:
+            while length:
+                label = tokens.get(word[at:at + length])
+                if label is not None and at + length not in barred and (
+                        not path or self.has_arc(path[-1], label)):
                     break
-                label = token_at[node]
-                if label < 0:
-                    continue
-                key = (previous, label)
-                fits = arcs.get(key)
-                if fits is None:
-                    fits = previous == START or self.follows(self.state(previous), label)
-                    if len(arcs) >= 4 * KEEP:
-                        arcs.clear()
-                    arcs[key] = fits
-                if fits:
-                    last[end + 1], came[end + 1] = label, at
-        path, at = [], size
-        while at:
-            path.append(last[at])
-            at = came[at]
-        return path[::-1]
-
-
-class Coder(dict):
+                length -= 1
+            if length:
+                steps.append((at, length))
+                path.append(label)
+                at += length
+                length = min(size - at, longest.get(word[at:at + 2], 1))
+            else:
+                barred.add(at)
+                at, length = steps.pop()
+                path.pop()
+                length -= 1
+        return path
+
+
+class Coder(Recent):
     """Chunk of text -> ids as bytes; pre-splits as the tokenizer file says and fills itself."""
 
     def __init__(self, path: str):
@@ -170,7 +165,12 @@ class Coder(dict):
         self.names = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
         self.labels = self.automaton.text | {i: t.encode() for t, i in special.items()}
 
-    def __missing__(self, chunk: str) -> bytes:
+    def make(self, chunk: str) -> bytes:
+        bare = word_and_stops(chunk)
+        if bare:
+            return self[chunk[:bare]] + self[chunk[bare:]]
+        if LATIN_WORD.fullmatch(chunk):
+            return np.array(self.automaton.encode(chunk.encode()), "<u4").tobytes()
         ids: list[int] = []
         for part in self.names.split(chunk) if self.names else [chunk]:
             if part in self.special:
@@ -178,12 +178,7 @@ class Coder(dict):
             elif part:
                 for word, _ in self.split(part):
                     ids += self.automaton.encode(word.translate(self.letters).encode("latin-1"))
-        data = np.array(ids, "<u4").tobytes()
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= KEEP:
-                self.clear()
-            self[chunk] = data
-        return data
+        return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers; null is empty."""

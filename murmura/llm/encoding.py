@@ -2,12 +2,13 @@
 
 ``word_bpe_49k`` drops blanks before it splits a text, and none of its patterns, nor its
 normalizer, looks across a blank. The ids of a text are therefore the ids of its blank-free
-pieces, one after the other. A worker keeps the ids of the pieces it has seen (at most KEEP,
-then it starts anew), so the library sees every different word and not every word.
+pieces, one after the other. A worker keeps the ids of the pieces it has seen lately, so the
+library sees every different word and not every word.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -15,18 +16,58 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 KEEP = 400_000
-"""Pieces whose ids a worker keeps."""
+"""Pieces of a generation of a worker's memory; two generations are kept."""
 LONGEST_KEPT = 64
 """Characters of the longest piece that is kept; longer ones are encoded each time."""
 BLANKS = str.maketrans("\n\t\r", "   ")
+STOPS = ",."
+LATIN_WORD = re.compile("( ?)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+"""Letters of one case pair each, all composed: one word for every split pattern."""
+
+
+class Recent(dict):
+    """A dict that fills itself and forgets: when it is full it becomes the older generation.
+
+    What is still used moves back from the older generation, so common pieces stay.
+    """
+
+    def __init__(self, keep: int = KEEP):
+        super().__init__()
+        self.older: dict = {}
+        self.keep = keep
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.keep:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+def word_and_stops(piece: str) -> int:
+    """Where trailing commas and full stops begin if they follow a Latin letter, else 0.
+
+    Every split pattern of these tokenizers parts a letter from such a mark, and no character
+    of theirs combines with it, so both sides may be encoded on their own.
+    """
+    bare = len(piece.rstrip(STOPS))
+    return bare if 0 < bare < len(piece) and piece[bare - 1] < "\u0100" \
+        and piece[bare - 1].isalpha() else 0
 
 
 def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Pieces(dict):
-    """Piece -> ids as little-endian unsigned 32-bit integers; fills itself."""
+class Pieces(Recent):
+    """Piece -> ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -34,13 +75,13 @@ class Pieces(dict):
         self.library.no_truncation()
         self.library.no_padding()
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= KEEP:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def make(self, piece: str) -> bytes:
+        bare = word_and_stops(piece)
+        if bare:
+            return self[piece[:bare]] + self[piece[bare:]]
+        if LATIN_WORD.fullmatch(piece) and not piece.islower():
+            return self[piece.lower()]  # the tokenizer lower-cases
+        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; null counts as empty."""
