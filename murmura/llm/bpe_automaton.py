@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
 from murmura.llm.common import ROWS_OUT, table
-from murmura.llm.encoding import KEEP, LATIN_WORD, Recent, word_and_stops
+from murmura.llm.encoding import KEEP, LATIN_WORD, Recent, byte_alphabet, word_and_stops
 
 START = -1
 CHUNK = re.compile(r"\s*\S+|\s+")
@@ -44,13 +44,6 @@ UNSURE = re.compile("[\x1c-\x1f]")
 """Characters that count as blanks here but not for the library: such texts are split whole."""
 
 
-def byte_alphabet() -> dict[int, int]:
-    """Byte-level letters to bytes: printable bytes stand for themselves, the rest for 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {c: c for c in plain} | {256 + i: b for i, b in enumerate(other)}
-
-
 class Automaton:
     """The compiled merges of one byte-level BPE tokenizer file."""
 

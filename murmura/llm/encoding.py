@@ -25,6 +25,13 @@ LATIN_WORD = re.compile("( ?)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 """Letters of one case pair each, all composed: one word for every split pattern."""
 
 
+def byte_alphabet() -> dict[int, int]:
+    """Byte-level letters to bytes: printable bytes stand for themselves, the rest for 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {c: c for c in plain} | {256 + i: b for i, b in enumerate(other)}
+
+
 class Recent(dict):
     """A dict that fills itself and forgets: when it is full it becomes the older generation.
 
@@ -74,13 +81,21 @@ class Pieces(Recent):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.letters = {b: chr(c) for c, b in byte_alphabet().items()}
 
     def make(self, piece: str) -> bytes:
         bare = word_and_stops(piece)
         if bare:
             return self[piece[:bare]] + self[piece[bare:]]
-        if LATIN_WORD.fullmatch(piece) and not piece.islower():
-            return self[piece.lower()]  # the tokenizer lower-cases
+        if LATIN_WORD.fullmatch(piece):
+            lower = piece.lower()  # as the tokenizer's normalizer does
+            if lower != piece:
+                return self[lower]
+            if not piece.isascii():
+                lower = "".join(map(self.letters.__getitem__, piece.encode()))
+            # One word for the split pattern: the library's model may take it at once.
+            return np.array([t.id for t in self.model.tokenize(lower)], "<u4").tobytes()
         return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
