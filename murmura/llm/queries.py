@@ -1,14 +1,18 @@
 """The operators' queries by name, and the DuckDB text of those that SQL can express."""
 
 from murmura.llm.bpe_automaton import op8_bpe_automaton
+from murmura.llm.chat_format import OP5_SQL, op5_chat_formatting
 from murmura.llm.packing import op10_packing
+from murmura.llm.quality_rules import op1_quality_rules
 from murmura.llm.token_counts import op2_token_counts
 from murmura.llm.token_output import op6_token_output
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_token_output": op6_token_output,
     "op8_bpe_automaton": op8_bpe_automaton,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
