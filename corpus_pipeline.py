@@ -6,24 +6,51 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from murmura.llm import quality_classifier as classifier
+from murmura.llm import quality_rules as rules
 from murmura.llm.common import table
+from murmura.llm.ngram_jaccard import link_components
 from murmura.llm.packing import pack_documents
 from murmura.runtime import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier accepts."""
+    model = classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return classifier.classify(docs, model).filter("kept").select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the risk-controlled cutoffs."""
+    labels = table(spark, sf_dir, "labels")
+    return rules.judge(docs, labels, carry=COLUMNS).filter("kept").select(*COLUMNS)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies, and all others."""
+    found = link_components(docs)
+    copies = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every kept document's ids in sequences of at most 4096 tokens."""
     return pack_documents(docs, with_ids=True)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 """The classifier is trained, and tokens come from a library: no SQL gives these rows."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each stage's rows are written and read again by the next."""
-    return reduce(lambda docs, stage: stage[1](spark, materialize(docs, stage[0]), sf_dir),
+    return reduce(lambda docs, stage: stage[1](spark, materialize(docs, "stage"), sf_dir),
                   STAGES, table(spark, sf_dir, "documents").select(*COLUMNS))

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmura.llm.common import table
@@ -84,10 +84,10 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
         F.lit(0)).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the base features of every whole text, by DataFrame functions only."""
+def features(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, lang (or the columns ``carry``) and the base features of every whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", "lang", text.alias("_text")).withColumns({
+    base = docs.select(*carry or ["doc_id", "lang"], text.alias("_text")).withColumns({
         "_words": F.filter(F.split("_text", BLANK), lambda w: w != ""),
         "_lines": F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
 
@@ -155,8 +155,8 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
                           for x in (F.lit(name), F.array(*map(F.lit, c)))])
     each = counts.groupBy("stratum", "rule").agg(
         F.sum("n_at").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n_at"))).alias("at"))
-    strata = each.agg(F.countDistinct("stratum").alias("strata"))
-    tests = each.join(F.broadcast(strata)).select(
+    strata = F.size(F.collect_set("stratum").over(Window.partitionBy()))
+    tests = each.withColumn("strata", strata).select(
         "stratum", "rule", "n", "at", "strata", F.posexplode(cuts[F.col("rule")]).alias("i", "cutoff"))
     # Level l is rejected by the cutoffs 1 to l, so cutoff i rejects the levels above i.
     k = F.aggregate(F.map_entries("at"), F.lit(0).cast("long"), lambda a, e: a + F.when(
@@ -187,15 +187,15 @@ def apply_rules(rows: DataFrame, cutoffs: DataFrame, rules: list[str]) -> DataFr
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA,
-          delta: float = DELTA) -> DataFrame:
+          delta: float = DELTA, carry: list[str] | None = None) -> DataFrame:
     """Features and verdict of every document, with cutoffs learned from ``labels``.
 
     The texts are read once: their features are written as a narrow table, from which both the
     labelled part and the verdicts come.
     """
-    rows = with_rates(materialize(features(docs), "quality-features"))
+    rows = with_rates(materialize(features(docs, carry), "quality-features"))
     marks = labels.select("doc_id", "quality").distinct()
-    labelled = rows.join(marks, "doc_id")
+    labelled = rows.select("doc_id", "lang", *RULES).join(marks, "doc_id")
     return apply_rules(rows, choose_cutoffs(labelled, alpha, delta), list(RULES))
 
 
