@@ -238,7 +238,7 @@ def in_sorted(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 ENTRIES = ("node long, n int, sig binary, scan_cost long, score long, "
-           "bucket int, hashes binary, nodes binary, sizes binary, scores binary, dfs binary")
+           "bucket int, hashes binary, nodes binary, sizes binary, scores binary, dfs binary, places binary")
 
 
 def set_writer(folder: str, bits: int, rep_buckets: int, size: int, percent: int):
@@ -252,13 +252,14 @@ def set_writer(folder: str, bits: int, rep_buckets: int, size: int, percent: int
         sets, rows, entries, held = [], [], [], 0
 
         def blocks() -> pa.RecordBatch:
-            hashes, nodes, sizes, scores, dfs = (np.concatenate(x) for x in zip(*entries))
+            columns = [np.concatenate(x) for x in zip(*entries)]
+            hashes, nodes, dfs = columns[0], columns[1], columns[4]
             salts = mixed(nodes.astype(np.uint64)) % (1 + dfs.astype(np.uint64) // np.uint64(SALT_EVERY))
             bucket = ((hashes >> np.uint64(64 - bits)) + salts) % np.uint64(1 << bits)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(1, 1 << bits))
             parts = [(i, p) for i, p in enumerate(np.split(order, cuts)) if len(p)]
-            return batch_of([], [(i, *(v[p].tobytes() for v in (hashes, nodes, sizes, scores, dfs)))
+            return batch_of([], [(i, *(v[p].tobytes() for v in columns))
                                  for i, p in parts])
 
         for batch in batches:
@@ -277,14 +278,15 @@ def set_writer(folder: str, bits: int, rep_buckets: int, size: int, percent: int
                 sets += [np.array([n], np.uint64), found]
                 offset += n + 1
                 prefix = np.lexsort((found, df))[:n - need + 1]
-                prefix = prefix[df[prefix] > 1]
+                places = np.flatnonzero(df[prefix] > 1).astype(np.int32)
+                prefix = prefix[places]
                 score = int(1_000 * df.sum() // n)
                 rows.append((node, n, xxhash.xxh3_128_digest(found.tobytes()),
                              int(df[prefix].sum()), score))
                 if len(prefix):
                     k = len(prefix)
                     entries.append((found[prefix], np.full(k, node), np.full(k, n, np.int32),
-                                    np.full(k, score), df[prefix]))
+                                    np.full(k, score), df[prefix], places))
                     held += k
                 if held >= FLUSH:
                     yield blocks()
@@ -300,9 +302,9 @@ def set_writer(folder: str, bits: int, rep_buckets: int, size: int, percent: int
 
 def batch_of(rows: list[tuple], blocks: list[tuple]) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(),
-             pa.int32(), *[pa.binary()] * 5]
+             pa.int32(), *[pa.binary()] * 6]
     names = [part.split()[0] for part in ENTRIES.split(", ")]
-    full = [(*r, *[None] * 6) for r in rows] + [(*[None] * 5, *b) for b in blocks]
+    full = [(*r, *[None] * 7) for r in rows] + [(*[None] * 5, *b) for b in blocks]
     return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*full), kinds)]
                            if full else [pa.array([], k) for k in kinds], names)
 
@@ -332,13 +334,19 @@ def list_maker(heavy_from: int):
 
         hashes, nodes = column("hashes", np.uint64), column("nodes", np.int64)
         sizes, scores = column("sizes", np.int32), column("scores", np.int64)
-        dfs = column("dfs", np.int64)
+        dfs, places = column("dfs", np.int64), column("places", np.int32)
         order = np.lexsort((nodes, sizes, hashes))
-        hashes, nodes, sizes, scores, dfs = (x[order] for x in (hashes, nodes, sizes, scores, dfs))
+        hashes, nodes, sizes, scores, dfs, places = (
+            x[order] for x in (hashes, nodes, sizes, scores, dfs, places))
         starts = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] ^ np.uint64(1)))
         lengths = np.diff(starts, append=len(hashes))
-        out, seen = {k: [] for k in ("list_id", "part", "salted", "nodes", "sizes", "scores")}, set()
-        for start, length in zip(starts.tolist(), lengths.tolist()):
+        names = ["list_id", "part", "salted", "first", "nodes", "sizes", "scores", "places"]
+        out, seen = {k: [] for k in names}, set()
+        # Of lists with the same members the one whose shingle comes first in order is kept.
+        sums = np.add.reduceat(places.astype(np.int64), starts)
+        by_place = np.argsort(sums, kind="stable")
+        starts, lengths, sums = starts[by_place], lengths[by_place], sums[by_place]
+        for first, start, length in zip(sums.tolist(), starts.tolist(), lengths.tolist()):
             end, salted = start + length, bool(dfs[start] >= SALT_EVERY)
             if (length < 2 and not salted) or sizes[end - 1] < heavy_from:
                 continue
@@ -353,15 +361,17 @@ def list_maker(heavy_from: int):
                 out["list_id"].append(int(hashes[start] >> np.uint64(1)))
                 out["part"].append(part)
                 out["salted"].append(salted or length > CHUNK)
-                for name, values in (("nodes", nodes), ("sizes", sizes), ("scores", scores)):
+                out["first"].append(first)
+                for name, values in (("nodes", nodes), ("sizes", sizes), ("scores", scores),
+                                     ("places", places)):
                     out[name].append(values[at:stop].tobytes())
-        kinds = dict(list_id=pa.int64(), part=pa.int32(), salted=pa.bool_(), nodes=pa.binary(),
-                     sizes=pa.binary(), scores=pa.binary())
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(out[n], k) for n, k in zip(names, kinds)], names)
     return make
 
 
-LISTS = "list_id long, part int, salted boolean, nodes binary, sizes binary, scores binary"
+LISTS = ("list_id long, part int, salted boolean, first long, nodes binary, sizes binary, "
+         "scores binary, places binary")
 
 
 def pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -412,8 +422,14 @@ def save_roots(found: DataFrame, folder: str, buckets: int) -> None:
     bucketed.groupBy("bucket").applyInArrow(root_writer(folder), "bucket int").count()
 
 
-def fits(sizes_a, sizes_b, percent: int):
-    return 100 * np.minimum(sizes_a, sizes_b) >= percent * np.maximum(sizes_a, sizes_b)
+def fits(sizes_a, places_a, sizes_b, places_b, percent: int):
+    """Whether sizes and places leave room for a link.
+
+    Taken in the list of the pair's first common shingle, nothing before the two places is
+    common, so at most the shorter rest is. The pair's other lists may pass it by.
+    """
+    needed = -(-percent * (sizes_a + sizes_b) // (100 + percent))
+    return np.minimum(sizes_a - places_a, sizes_b - places_b) >= needed
 
 
 def pivot_pairs(folder: str | None, buckets: int, percent: int):
@@ -422,10 +438,10 @@ def pivot_pairs(folder: str | None, buckets: int, percent: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [], []
-            for nodes, sizes, scores in zip(*(batch.column(c).to_pylist()
-                                              for c in ("nodes", "sizes", "scores"))):
+            for nodes, sizes, scores, spots in zip(*(
+                    batch.column(c).to_pylist() for c in ("nodes", "sizes", "scores", "places"))):
                 nodes, sizes = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int32)
-                scores = np.frombuffer(scores, np.int64)
+                scores, spots = np.frombuffer(scores, np.int64), np.frombuffer(spots, np.int32)
                 rest = np.ones(len(nodes), bool)
                 if folder:
                     roots = roots_of(folder, buckets).of(nodes)
@@ -435,7 +451,7 @@ def pivot_pairs(folder: str | None, buckets: int, percent: int):
                     rest = roots != values[counts.argmax()]
                 places = np.flatnonzero(rest)
                 pivot = places[scores[places].argmax()]
-                other = fits(sizes, sizes[pivot], percent)
+                other = fits(sizes, spots, sizes[pivot], spots[pivot], percent)
                 if folder:
                     other &= roots != roots[pivot]
                 left.append(nodes[other])
@@ -445,21 +461,22 @@ def pivot_pairs(folder: str | None, buckets: int, percent: int):
     return pairs
 
 
-def all_pairs(folder: str, buckets: int, percent: int):
-    """Every pair between two chunks (or inside one) that lies in different components."""
+def all_pairs(folder: str, buckets: int, percent: int, sets_folder: str):
+    """The links among all pairs of two chunks (or of one) that lie in different components."""
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roots = roots_of(folder, buckets)
+        roots, test = roots_of(folder, buckets), verifier(sets_folder, percent)
+        names = [c + end for end in ("", "_b") for c in ("nodes", "sizes", "places")]
         for batch in batches:
-            for nodes, sizes, nodes_b, sizes_b in zip(*(batch.column(c).to_pylist() for c in (
-                    "nodes", "sizes", "nodes_b", "sizes_b"))):
-                a, na = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int32)
-                b, nb = np.frombuffer(nodes_b, np.int64), np.frombuffer(sizes_b, np.int32)
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                a, na, pa_, b, nb, pb = (np.frombuffer(x, np.int64 if i % 3 == 0 else np.int32)
+                                         for i, x in enumerate(row))
                 ra, rb = roots.of(a), roots.of(b)
                 if len(np.unique(np.concatenate([ra, rb]))) < 2:
                     continue
-                i, j = np.nonzero((ra[:, None] != rb[None, :]) & fits(na[:, None], nb[None, :], percent))
+                i, j = np.nonzero((ra[:, None] != rb[None, :]) & fits(
+                    na[:, None], pa_[:, None], nb[None, :], pb[None, :], percent))
                 if len(i):
-                    yield pair_batch(a[i], b[j])
+                    yield from test([pair_batch(a[i], b[j])])
     return pairs
 
 
@@ -491,7 +508,7 @@ def enumerator(folder: str, bits: int, percent: int):
             keys, nodes, sizes, scores = zip(*found)
             columns = (np.array(keys, np.uint64), np.array(nodes, np.int64),
                        np.array(sizes, np.int32), np.array(scores, np.int64),
-                       np.ones(len(keys), np.int64))
+                       np.ones(len(keys), np.int64), np.zeros(len(keys), np.int32))
             bucket = columns[0] >> np.uint64(64 - bits)
             yield batch_of([], [(int(i), *(c[bucket == i].tobytes() for c in columns))
                                 for i in np.unique(bucket)])
@@ -539,15 +556,17 @@ def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
         set_writer(folder, bits, rep_buckets, size, percent), ENTRIES), "sets")
     nodes = kept.filter("bucket is null").select("node", "n", "sig", "scan_cost", "score")
     boundary = choose_boundary(nodes, percent)
-    block = ["bucket", "hashes", "nodes", "sizes", "scores", "dfs"]
+    block = ["bucket", "hashes", "nodes", "sizes", "scores", "dfs", "places"]
     heavy = kept.filter("bucket is not null").select(*block).groupBy("bucket").applyInArrow(
         list_maker(boundary + 1), LISTS)
     light = nodes.filter(F.col("n") <= boundary).select("node", "score").mapInArrow(
         enumerator(folder, bits, percent), ENTRIES).select(*block).groupBy("bucket").applyInArrow(
         list_maker(0), LISTS)
     made = materialize(heavy.unionByName(light), "lists")
-    lists = materialize(made.filter("not salted").dropDuplicates(["nodes"]).unionByName(
-        made.filter("salted")), "lists")
+    rest = ["list_id", "part", "salted", "first", "sizes", "scores", "places"]
+    single = made.filter("not salted").groupBy("nodes").agg(
+        F.min_by(F.struct(*rest), "first").alias("l")).select("nodes", "l.*")
+    lists = materialize(single.unionByName(made.filter("salted")), "lists")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return pairs.distinct().mapInArrow(verifier(folder, percent), "u long, v long")
@@ -555,21 +574,21 @@ def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     edges = spark.createDataFrame([], "u long, v long")
     for turn in range(PIVOT_ROUNDS):
         at = f"{folder}/roots-{turn}"
-        pairs = lists.select("nodes", "sizes", "scores").mapInArrow(
+        pairs = lists.select("nodes", "sizes", "scores", "places").mapInArrow(
             pivot_pairs(at if turn else None, rep_buckets, percent), "u long, v long")
         edges = materialize(edges.unionByName(verified(pairs)), "links")
         roots = components(edges)
         folder_next = f"{folder}/roots-{turn + 1}"
         os.makedirs(folder_next, exist_ok=True)
         save_roots(roots, folder_next, rep_buckets)
-    chunk = lists.select("list_id", "part", "salted", "nodes", "sizes")
-    other = chunk.filter("salted").select(
-        "list_id", *[F.col(c).alias(f"{c}_b") for c in ("nodes", "sizes")])
+    parts = ["nodes", "sizes", "places"]
+    chunk = lists.select("list_id", "salted", *parts)
+    other = chunk.filter("salted").select("list_id", *[F.col(c).alias(f"{c}_b") for c in parts])
     met = chunk.filter("salted").join(other, "list_id").unionByName(
-        chunk.filter("not salted").withColumns({"nodes_b": F.col("nodes"), "sizes_b": F.col("sizes")}))
-    rest = met.select("nodes", "sizes", "nodes_b", "sizes_b").mapInArrow(
-        all_pairs(folder_next, rep_buckets, percent), "u long, v long")
-    more = materialize(verified(rest), "links")
+        chunk.filter("not salted").withColumns({f"{c}_b": F.col(c) for c in parts}))
+    met = met.select(*parts, *[f"{c}_b" for c in parts])
+    more = materialize(met.mapInArrow(
+        all_pairs(folder_next, rep_buckets, percent, folder), "u long, v long").distinct(), "links")
     if not more.isEmpty():
         roots = components(edges.unionByName(more))
 
