@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmura.llm.common import ROWS_OUT, table
+from murmura.llm.common import ROWS_OUT, flat, table
 
 LABELLED = 6_000
 POOL = 6_000
@@ -122,12 +122,10 @@ def probability(z):
 class View:
     """Naive Bayes weights over one kind of features, and their calibration."""
 
-    def __init__(self, size: int, numbers: list[np.ndarray], shares: list[np.ndarray]):
-        self.size = size
-        self.row = np.repeat(np.arange(len(numbers)), [len(n) for n in numbers])
-        self.number = np.concatenate([*numbers, np.zeros(0, np.int64)]).astype(np.int64)
-        self.share = np.concatenate([*shares, np.zeros(0)]).astype(np.float64)
-        self.rows = len(numbers)
+    def __init__(self, size: int, number: np.ndarray, ends: np.ndarray, share: np.ndarray):
+        self.size, self.rows = size, len(ends) - 1
+        self.row = np.repeat(np.arange(self.rows, dtype=np.int32), np.diff(ends))
+        self.number, self.share = number, share
 
     def fit(self, labels: np.ndarray, usable: np.ndarray, smooth: float = 0.05) -> None:
         """labels: 1, 0, or -1 where there is none."""
@@ -198,10 +196,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int
         sample_features, "doc_id long, label int, features array<int>, shares array<float>, meta array<int>")
         .dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id"))
     marked = found.column("label").to_numpy().astype(np.int64)
-    columns = {c: [np.array(v) for v in found.column(c).to_pylist()] for c in ("features", "shares", "meta")}
     held = np.array([xxhash.xxh32_intdigest(str(i)) & 1 for i in found.column("doc_id").to_pylist()], bool)
-    views = [View(TEXT_SIZE, columns["features"], columns["shares"]),
-             View(1 << META_BITS, columns["meta"], [np.ones(len(m)) for m in columns["meta"]])]
+    (number, ends), (share, _), (meta, meta_ends) = (
+        flat(found.column(c)) for c in ("features", "shares", "meta"))
+    views = [View(TEXT_SIZE, number, ends, share),
+             View(1 << META_BITS, meta, meta_ends, np.ones(len(meta), np.float32))]
     return co_train(marked, held & (marked >= 0), views)
 
 
