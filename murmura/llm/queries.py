@@ -2,6 +2,7 @@
 
 from murmura.llm.bpe_automaton import op8_bpe_automaton
 from murmura.llm.chat_format import OP5_SQL, op5_chat_formatting
+from murmura.llm.embedding_dedup import op3_embedding_dedup
 from murmura.llm.language_model import op9_language_model
 from murmura.llm.ngram_jaccard import op4_ngram_jaccard_join
 from murmura.llm.packing import op10_packing
@@ -13,6 +14,7 @@ from murmura.llm.token_output import op6_token_output
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_token_output": op6_token_output,
