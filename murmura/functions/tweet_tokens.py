@@ -9,10 +9,9 @@ once per task, and the whole step stays in the JVM.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from html.entities import name2codepoint
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes and patterns that decide where tokens begin
@@ -62,17 +61,18 @@ EMAIL = rf"(?<={BOUND})[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,4}}(?={BOUN
 EDGE_PUNCT = r"['\"“”‘’«»{}\(\)\[\]\*&]"
 EDGE_CONTENT = "[a-zA-Z0-9]"
 OFF_EDGE = r"(^|$|:|;|\s|\.|,)"
-# Country domains, given as the difference from the ISO list.
-COUNTRY_EXTRA = ("ac", "an", "cs", "dd", "eu", "su", "tp", "uk")
-COUNTRY_MISSING = ("bl", "bq", "cw", "mf", "sx", "um")
-
-
-@lru_cache(maxsize=None)
-def country_codes() -> tuple[str, ...]:
-    """Two-letter country domains from the JVM's ISO 3166 list."""
-    locale = SparkSession.active().sparkContext._jvm.java.util.Locale
-    iso = {code.lower() for code in locale.getISOCountries()}
-    return tuple(sorted((iso | set(COUNTRY_EXTRA)) - set(COUNTRY_MISSING)))
+# Country domains.
+COUNTRIES = tuple("""
+    ac ad ae af ag ai al am an ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn
+    bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cs cu cv cx cy cz dd de
+    dj dk dm do dz ec ee eg eh er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm
+    gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp
+    ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk
+    ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa
+    pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk
+    sl sm sn so sr ss st su sv sy sz tc td tf tg th tj tk tl tm tn to tp tr tt tv tw tz ua
+    ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw
+""".split())
 
 
 def _same_face(name: str) -> str:
@@ -177,7 +177,7 @@ def split_edge_punctuation(text: Column) -> Column:
 def tweet_tokens(text: Column | str, countries: tuple[str, ...] | None = None) -> Column:
     """Tokens of a raw, HTML-escaped post in order of appearance; NULL stays NULL."""
     text = F.col(text) if isinstance(text, str) else text
-    pattern = token_pattern(tuple(countries) if countries else country_codes())
+    pattern = token_pattern(tuple(countries) if countries else COUNTRIES)
     ready = split_edge_punctuation(squeeze_blanks(unescape_html(text)))
     found = F.regexp_extract_all(ready, F.lit(pattern), F.lit(0))
     blanks = F.lit("".join(chr(c) for c in range(33)))

@@ -42,6 +42,11 @@ def _class_of(mean, cutoff: float):
     return (F.when(mean > cutoff, 1).when(mean < -cutoff, -1).otherwise(0)).cast("int")
 
 
+def one_per_word(lexicon: DataFrame) -> DataFrame:
+    """word, s: the mean of (positive - negative) over a word's rows."""
+    return lexicon.groupBy("word").agg(F.avg(F.col("positive") - F.col("negative")).alias("s"))
+
+
 def score_by_join(posts: DataFrame, lexicon: DataFrame, key: str, tokens: str = TOKENS,
                   cutoff: float = CUTOFF) -> DataFrame:
     """Score with joins only, for a lexicon of any size.
@@ -49,14 +54,15 @@ def score_by_join(posts: DataFrame, lexicon: DataFrame, key: str, tokens: str =
     Tokens are reduced to one (sum, hits) row per post before anything is joined
     back; posts without a hit stay and are neutral.
     """
-    # explode_outer: a plain explode would push a copy of the token expression below it.
-    hits = (posts.select(key, F.explode_outer(tokens).alias("word"))
-            .filter(F.col("word").isNotNull()).join(lexicon, "word")
-            .groupBy(key)
-            .agg(F.avg(F.col("positive") - F.col("negative")).alias("_mean")))
-    scored = posts.join(hits, key, "left")
+    # Equal token sets have one score, so the sets themselves are the key: post ids may repeat
+    # or be null. explode_outer: a plain explode would push a copy of the token expression below.
+    sets = posts.select(F.col(tokens).alias("_set")).distinct()
+    hits = (sets.select("_set", F.explode_outer("_set").alias("word"))
+            .filter(F.col("word").isNotNull()).join(one_per_word(lexicon), "word")
+            .groupBy("_set").agg(F.avg("s").alias("_mean")))
+    scored = posts.join(hits, F.col(tokens).eqNullSafe(F.col("_set")), "left")
     return (scored.withColumn(SENTIMENT, F.coalesce(_class_of(F.col("_mean"), cutoff), F.lit(0)))
-            .drop("_mean"))
+            .drop("_mean", "_set"))
 
 
 def score_by_lookup(posts: DataFrame, lexicon: DataFrame, tokens: str = TOKENS,
@@ -66,7 +72,7 @@ def score_by_lookup(posts: DataFrame, lexicon: DataFrame, tokens: str = TOKENS,
     Each Arrow batch is looked up as one flat token array, so there is no Python
     work per row.
     """
-    words = lexicon.select("word", (F.col("positive") - F.col("negative")).alias("s")).toArrow()
+    words = one_per_word(lexicon).toArrow()
     spark = posts.sparkSession
     shared = spark.sparkContext.broadcast((
         words["word"].combine_chunks(), words["s"].combine_chunks().to_numpy(zero_copy_only=False)))

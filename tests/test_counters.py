@@ -112,3 +112,36 @@ def test_a_days_report_reads_that_day_only(spark, tmp_path):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(postedDate" in plan
     assert {r.postedDate for r in top.collect()} == {"2024-01-02"}
+
+
+def test_late_batch_counts_after_a_fold(spark, tmp_path):
+    from datetime import datetime
+    path, now = str(tmp_path / "late"), datetime(2024, 1, 2)
+    one = spark.createDataFrame([("a", 5)], "term string, count long")
+    store.merge_counts(path, one, 3, now)
+    store.fold_counts(spark, path, 3)
+    store.merge_counts(path, one, -1, now)
+    assert store.read_counts(spark, path).first()["count"] == 10
+    store.fold_counts(spark, path, 3)
+    store.merge_counts(path, one, 3, now)
+    assert store.read_counts(spark, path).first()["count"] == 10
+
+
+def test_sentiment_forms_agree(spark):
+    from murmura.operators import sentiment as se
+    lexicon = spark.createDataFrame([("good", 0.5, 0.0), ("good", 0.1, 0.0), ("bad", 0.0, 0.5)],
+                                    "word string, positive double, negative double")
+    posts = spark.createDataFrame(
+        [(3, ["good"]), (3, ["bad"]), (None, ["good", "bad"]), (None, []), (4, None)],
+        "post_id long, toks array<string>")
+    both = [sorted((str(r.toks), r[2]) for r in f.collect()) for f in (
+        se.score_by_join(posts, lexicon, "post_id", "toks"),
+        se.score_by_lookup(posts.filter("toks is not null"), lexicon, "toks"))]
+    assert [x for x in both[0] if x[0] != "None"] == both[1]
+
+
+def test_stop_rule_of_the_layout():
+    from murmura.operators.layout import slowed_down
+    assert not slowed_down([1, 30, 40, 1], 20, 2)
+    assert slowed_down([1, 30, 40, 1, 1.5], 20, 2)
+    assert not slowed_down([5, 4, 3], 20, 1)

@@ -111,7 +111,7 @@ def test_word_list(spark, tmp_path):
 
 def test_shortcuts_change_no_token(spark, small):
     from murmura.functions import tweet_tokens as tt
-    codes = tt.country_codes()
+    codes = tt.COUNTRIES
     plain = (tt.protected_span("s", codes)
              + rf"|\S(?:(?!{tt.protected_span('n', codes)})\S)*+")
     texts = spark.read.parquet(f"{small}/documents.parquet").select("text").unionByName(
