@@ -45,6 +45,7 @@ TONGUE = "[pPd3]+"
 OTHER_MOUTHS = r"(?:[oO]+|[/\\]+|[vV]+|[Ss]+|[|]+)"
 AFTER_FACE = r"(?=\W|$|RT|rt|Rt)"
 SAME_EYES = r"♥|0|o|°|v|\$|t|x|;|\u0CA0|@|ʘ|•|・|◕|\^|¬|\*"
+LETTERED_EYES = ("0", "o", "v", "t", "x", r"\*")
 CENTER = r"(?:[\.]|[_-]+)"
 DASH_FACE = "(?:--['\"])"
 ARROW_FACE = r"(?:<|&lt;|>|&gt;)[\._-]+(?:<|&lt;|>|&gt;)"
@@ -75,31 +76,37 @@ COUNTRIES = tuple("""
 """.split())
 
 
-def _same_face(name: str) -> str:
-    """Two equal eyes around a centre; ``name`` is the back-reference's group."""
-    return (rf"(?:(?i)(?<{name}>{SAME_EYES}){CENTER}\k<{name}>)"
-            f"|{DASH_FACE}|{ARROW_FACE}|{DOT_FACE}")
+def _same_face(eyes: list[str], center: str = CENTER) -> str:
+    """Two equal eyes around a centre, in either case of a letter."""
+    return "|".join(f"(?i:{eye}{center}{eye})" for eye in eyes)
 
 
-def _eastern_face(tag: str) -> str:
-    """Brackets around a run of small faces and symbols.
+def _eastern_face() -> str:
+    """Brackets around a run of small faces and symbols, in one way and without recursion.
 
-    Symbols that begin no small face are taken as one plain run, so that a run of
-    any length is matched by iteration and backs off in one way only.
+    A small face of symbols alone is also a run of symbols, so only faces that hold a letter,
+    digit, star or dash are told apart. The run is taken possessively. Either a closing bracket
+    follows it, or the face ends at the last place in it where one can stand: at a symbol that
+    closes, at a small face that begins with one, or at the dash inside a small face.
     """
-    def plain(n: int) -> str:
-        return f"(?:(?!{_same_face(f'{tag}p{n}')}){EAST_SYMBOL})"
-
-    def face_or_its_first_symbol(n: int) -> str:
-        return f"(?:{_same_face(f'{tag}f{n}')}|(?={_same_face(f'{tag}g{n}')}){EAST_SYMBOL})"
-
-    first = f"(?:{plain(1)}+|{face_or_its_first_symbol(1)}{plain(2)}*)"
-    more = f"(?:{face_or_its_first_symbol(2)}{plain(3)}*)*"
-    return f"{EAST_LEFT}{first}{more}{EAST_RIGHT}"
-
-
-def protected_span(tag: str, countries: tuple[str, ...], inside: bool = False) -> str:
-    """Alternatives in order of preference; ``tag`` keeps group names distinct.
+    eyes = SAME_EYES.split("|")
+    lettered = _same_face([eye for eye in eyes if eye in LETTERED_EYES])
+    plain_eyes = [eye for eye in eyes if eye not in LETTERED_EYES]
+    dashed = _same_face(plain_eyes, "_*-[_-]*")
+    arrow = rf"(?:(?=[<>][._]*+-)|(?=&[lg]t;|[<>][._-]++&)){ARROW_FACE}"
+    rest = f"{lettered}|{DASH_FACE}|{arrow}"
+    closes = EAST_RIGHT.removesuffix("+")
+    place = f"(?:{dashed}|(?={closes})(?:{rest}|{EAST_SYMBOL}))"
+    other = f"(?:(?!{place})(?:{rest}|{EAST_SYMBOL}))*+"
+    item = f"(?:{dashed}|{rest}|{EAST_SYMBOL})"
+    last = f"(?:(?:{'|'.join(plain_eyes)})_*+(?=-))?+{EAST_RIGHT}"
+    return (f"{EAST_LEFT}(?:{item}++{EAST_RIGHT}"
+            f"|{item}(?:{other}{place}(?={other}{place}))*+{other}{last}"
+            f"|(?:{'|'.join(plain_eyes)})_*+(?=-){EAST_RIGHT})")
+
+
+def protected_span(countries: tuple[str, ...], inside: bool = False) -> str:
+    """Alternatives in order of preference.
 
     ``inside`` is for a position right after a plain character, where some spans
     cannot begin because they would have begun one character earlier: a word with
@@ -115,8 +122,9 @@ def protected_span(tag: str, countries: tuple[str, ...], inside: bool = False) -
     mirrored = f"(?<=(?: |^))(?:{SAD}|{HAPPY}|{OTHER_MOUTHS}){NOSE}{EYES}(?:<|&lt;)?"
     run_start = r"(?<!\d)" if inside else ""
     face_start = f"(?<!{EAST_LEFT[:-1]})" if inside else ""
-    eastern = face_start + _eastern_face(tag)
-    emoticon = f"(?:{western}|{mirrored}|{eastern}|{_same_face(tag + 'z')})"
+    eastern = face_start + _eastern_face()
+    small = f"{_same_face(SAME_EYES.split('|'))}|{DASH_FACE}|{ARROW_FACE}|{DOT_FACE}"
+    emoticon = f"(?:{western}|{mirrored}|{eastern}|{small})"
     return "(?:" + "|".join([
         HEARTS, url, EMAIL, run_start + TIME, NUMBER_WITH_COMMAS,
         run_start + NUMBER_COMBINATION, emoticon, ARROWS, ENTITY, PUNCT_RUNS, ABBREVIATION,
@@ -137,8 +145,8 @@ def token_pattern(countries: tuple[str, ...]) -> str:
     lone_stop = "(?<=[A-Za-z])[.,](?= |$)"
     not_blank = r"(?! (?![A-Za-z]\.))"
     plain_letter = "(?<=[A-Za-z])[A-Za-gi-z](?=[A-Za-z])"
-    inside = protected_span("n", countries, inside=True)
-    return (f"{plain_word}|{lone_stop}|{not_blank}{protected_span('s', countries)}"
+    inside = protected_span(countries, inside=True)
+    return (f"{plain_word}|{lone_stop}|{not_blank}{protected_span(countries)}"
             rf"|\S(?:{plain_letter}|(?!{inside})\S)*+")
 
 
