@@ -19,7 +19,6 @@ KEEP = 400_000
 """Pieces of a generation of a worker's memory; two generations are kept."""
 LONGEST_KEPT = 64
 """Characters of the longest piece that is kept; longer ones are encoded each time."""
-BLANKS = str.maketrans("\n\t\r", "   ")
 STOPS = ",."
 LATIN_WORD = re.compile("( ?)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 """Letters of one case pair each, all composed: one word for every split pattern."""
@@ -102,7 +101,8 @@ class Pieces(Recent):
         """Ids of a whole text; null counts as empty."""
         if not text:
             return b""
-        return b"".join(map(self.__getitem__, text.translate(BLANKS).split(" ")))
+        blank = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return b"".join(map(self.__getitem__, blank.split(" ")))
 
 
 @lru_cache(maxsize=2)
