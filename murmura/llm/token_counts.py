@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from murmura.llm.common import table
 from murmura.llm.encoding import pieces, word_tokenizer_path
+from murmura.runtime import materialize
 
 BLOCK = 1_024
 
@@ -89,4 +90,6 @@ def truncated_total(limits: DataFrame, limit: int) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_limits(length_histogram(table(spark, sf_dir, "documents")))
+    histogram = length_histogram(table(spark, sf_dir, "documents"))
+    # Written once: the limits read it twice, and each reading would encode all texts.
+    return context_limits(materialize(histogram, "lengths"))
