@@ -21,7 +21,8 @@ shingles (64-bit hashes). The join is exact; its steps:
    one list in different components, is tested completely.
 
 Lists of hot shingles are dealt over several tasks by a salt that follows the count, and every
-list is cut into chunks; the last round meets the chunks of a list with each other.
+list is cut into chunks; the last round meets the chunks of a list with each other, except two
+of light sets only.
 
 Defined results: null text, or text without words, has size 0 and is linked with nothing; fewer
 than five words are one shingle; repeated rows stay, each with its component; a null doc_id has
@@ -327,6 +328,7 @@ def list_maker(heavy_from: int):
     """Blocks of one bucket to chunks of inverted lists with two members or more.
 
     Members are ordered by size. A list of light sets only is left out: their subsets find them.
+    The light part of a dealt list stays, as the list's heavy sets may lie in other buckets.
     """
     def make(blocks: pa.Table) -> pa.Table:
         def column(name: str, kind) -> np.ndarray:
@@ -340,7 +342,7 @@ def list_maker(heavy_from: int):
             x[order] for x in (hashes, nodes, sizes, scores, dfs, places))
         starts = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] ^ np.uint64(1)))
         lengths = np.diff(starts, append=len(hashes))
-        names = ["list_id", "part", "salted", "first", "nodes", "sizes", "scores", "places"]
+        names = ["list_id", "part", "salted", "heavy", "first", "nodes", "sizes", "scores", "places"]
         out, seen = {k: [] for k in names}, set()
         # Of lists with the same members the one whose shingle comes first in order is kept.
         sums = np.add.reduceat(places.astype(np.int64), starts)
@@ -348,7 +350,7 @@ def list_maker(heavy_from: int):
         starts, lengths, sums = starts[by_place], lengths[by_place], sums[by_place]
         for first, start, length in zip(sums.tolist(), starts.tolist(), lengths.tolist()):
             end, salted = start + length, bool(dfs[start] >= SALT_EVERY)
-            if (length < 2 and not salted) or sizes[end - 1] < heavy_from:
+            if not salted and (length < 2 or sizes[end - 1] < heavy_from):
                 continue
             members = nodes[start:end].tobytes()
             if not salted:
@@ -361,16 +363,17 @@ def list_maker(heavy_from: int):
                 out["list_id"].append(int(hashes[start] >> np.uint64(1)))
                 out["part"].append(part)
                 out["salted"].append(salted or length > CHUNK)
+                out["heavy"].append(bool(sizes[stop - 1] >= heavy_from))
                 out["first"].append(first)
                 for name, values in (("nodes", nodes), ("sizes", sizes), ("scores", scores),
                                      ("places", places)):
                     out[name].append(values[at:stop].tobytes())
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
         return pa.table([pa.array(out[n], k) for n, k in zip(names, kinds)], names)
     return make
 
 
-LISTS = ("list_id long, part int, salted boolean, first long, nodes binary, sizes binary, "
+LISTS = ("list_id long, part int, salted boolean, heavy boolean, first long, nodes binary, sizes binary, "
          "scores binary, places binary")
 
 
@@ -563,7 +566,7 @@ def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
         enumerator(folder, bits, percent), ENTRIES).select(*block).groupBy("bucket").applyInArrow(
         list_maker(0), LISTS)
     made = materialize(heavy.unionByName(light), "lists")
-    rest = ["list_id", "part", "salted", "first", "sizes", "scores", "places"]
+    rest = ["list_id", "part", "salted", "heavy", "first", "sizes", "scores", "places"]
     single = made.filter("not salted").groupBy("nodes").agg(
         F.min_by(F.struct(*rest), "first").alias("l")).select("nodes", "l.*")
     lists = materialize(single.unionByName(made.filter("salted")), "lists")
@@ -574,7 +577,7 @@ def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
     edges = spark.createDataFrame([], "u long, v long")
     for turn in range(PIVOT_ROUNDS):
         at = f"{folder}/roots-{turn}"
-        pairs = lists.select("nodes", "sizes", "scores", "places").mapInArrow(
+        pairs = lists.filter("heavy").select("nodes", "sizes", "scores", "places").mapInArrow(
             pivot_pairs(at if turn else None, rep_buckets, percent), "u long, v long")
         edges = materialize(edges.unionByName(verified(pairs)), "links")
         roots = components(edges)
@@ -582,10 +585,11 @@ def link_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT)
         os.makedirs(folder_next, exist_ok=True)
         save_roots(roots, folder_next, rep_buckets)
     parts = ["nodes", "sizes", "places"]
-    chunk = lists.select("list_id", "salted", *parts)
-    other = chunk.filter("salted").select("list_id", *[F.col(c).alias(f"{c}_b") for c in parts])
-    met = chunk.filter("salted").join(other, "list_id").unionByName(
-        chunk.filter("not salted").withColumns({f"{c}_b": F.col(c) for c in parts}))
+    chunk = lists.select("list_id", "salted", "heavy", *parts)
+    sides = ["heavy", *parts]
+    other = chunk.filter("salted").select("list_id", *[F.col(c).alias(f"{c}_b") for c in sides])
+    met = chunk.filter("salted").join(other, "list_id").filter("heavy or heavy_b").unionByName(
+        chunk.filter("not salted").withColumns({f"{c}_b": F.col(c) for c in sides}))
     met = met.select(*parts, *[f"{c}_b" for c in parts])
     more = materialize(met.mapInArrow(
         all_pairs(folder_next, rep_buckets, percent, folder), "u long, v long").distinct(), "links")

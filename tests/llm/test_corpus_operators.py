@@ -56,6 +56,18 @@ def test_join_equals_all_pairs(spark):
     assert ngram_jaccard.link_components(docs.limit(0)).count() == 0
 
 
+def test_join_links_light_and_heavy_members_of_a_dealt_list(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "SALT_EVERY", 2)
+    monkeypatch.setattr(ngram_jaccard, "choose_boundary", lambda nodes, percent: 3)
+    rows = []
+    for i in range(40):
+        words = [f"g{i}w{k}" for k in range(8)]
+        rows += [(2 * i, " ".join(words[:7])), (2 * i + 1, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.link_components(docs).collect()}
+    assert got == {i: i - i % 2 for i in range(80)}
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(1, 40) if i % 10] + [(50, 51), (51, 50), (60, 60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
