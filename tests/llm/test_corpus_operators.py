@@ -96,6 +96,24 @@ def test_vector_links_reach_recall(spark):
     assert embedding_dedup.link_vectors(vectors.limit(0)).count() == 0
 
 
+def test_vector_links_over_many_shards_and_splits(spark, monkeypatch, caplog):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 20)
+    monkeypatch.setattr(embedding_dedup, "CAP", 5)
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(700, 16))
+    centres[400:] = draw.normal(size=16) + draw.normal(size=(300, 16)) * 0.4
+    unit = np.concatenate([centres, centres + draw.normal(size=centres.shape) * 0.05])
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(unit)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    with caplog.at_level("INFO", embedding_dedup.__name__):
+        got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(vectors).collect()}
+    found = np.array([got[i] for i in range(len(unit))])
+    assert links.sum() > 1_000 and (found <= links).all() and found.sum() >= 0.995 * links.sum()
+    assert f"found {found[::20].sum()} of the {links[::20].sum()} links" in caplog.text
+
+
 def test_language_model_equals_plain_counts(spark):
     rows, docs = make_docs(spark)
     folded = language_model.with_fold(docs)
