@@ -1,6 +1,6 @@
 """Quality by co-training: a text view and a page-metadata view teach each other, then combine.
 
-* The text view sees the words' shapes and hashes; the metadata view sees language, source,
+* The text view sees the shapes and hashes of words, and of each piece of a very long word; the metadata view sees language, source,
   length and line layout. Both are naive Bayes over hashed features with per-document shares.
 * Fitting uses a bounded sample of documents: at most LABELLED labelled ones and POOL others,
   those with the smallest hash of doc_id, so the sample is the same at every run. Half of the
@@ -43,6 +43,7 @@ TEXT_BITS = 14
 SHAPE_BITS = 12
 META_BITS = 10
 KEEP_WORDS = 400_000
+PIECE = 64
 RESULTS = {"text_score": T.DoubleType(), "meta_score": T.DoubleType(),
            "quality": T.DoubleType(), "kept": T.BooleanType()}
 RUN = re.compile(r"(.)\1+", re.S)
@@ -51,10 +52,15 @@ RUN = re.compile(r"(.)\1+", re.S)
 def shape(word: str) -> str:
     """Letters as A or a, digits as 9, runs as one: ``Hello,!!`` is ``Aa,!``."""
     marks = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
-                    for c in word[:64])
+                    for c in word)
     return RUN.sub(r"\1", marks)
 
 
+def pieces(text: str) -> list[str]:
+    """The text's words; longer ones are cut into pieces of PIECE characters."""
+    return [w[at:at + PIECE] for w in text.split() for at in range(0, len(w), PIECE)]
+
+
 class Features(dict):
     """Word -> its two feature numbers: shape first, then the lower-cased word."""
 
@@ -88,7 +94,7 @@ def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         rows = batch.to_pylist()
         texts, shares, metas = [], [], []
         for r in rows:
-            words = (r["text"] or "").split()
+            words = pieces(r["text"] or "")
             both = np.array([f for w in words for f in known[w]], np.int32)
             values, counts = np.unique(both, return_counts=True)
             texts.append(values)
@@ -234,7 +240,7 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
             for at in range(0, whole.num_rows, ROWS_OUT):
                 batch = whole.slice(at, ROWS_OUT)
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                words = [t.split() for t in texts]
+                words = [pieces(t) for t in texts]
                 text = np.array([sum(map(weights.__getitem__, w)) / max(1, len(w)) for w in words])
                 meta = np.array([model.meta_weights[metadata(*facts)].sum() for facts in zip(*(
                     batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), texts)])

@@ -164,3 +164,17 @@ def test_classifier_keeps_good_and_rejects_bad(spark):
     blind = quality_classifier.classify(docs, quality_classifier.fit(docs, labels.limit(0))).collect()
     assert all(r.kept and r.quality is None for r in blind)
     assert quality_classifier.classify(docs.limit(0), quality_classifier.fit(docs, labels)).count() == 0
+
+
+def test_classifier_reads_long_words_to_their_end(spark):
+    draw = random.Random(6)
+    rows = []
+    for i in range(400):
+        start = "".join(draw.choice("aeinorst") for _ in range(64))
+        rest = "".join(draw.choice("aeinorst" if i % 4 else "!?#%") for _ in range(640))
+        rows.append((i, start + rest, "en", "s", 704, "x", 1))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(400) if i % 3], "doc_id long, quality int")
+    got = quality_classifier.classify(docs, quality_classifier.fit(docs, labels)).collect()
+    text = {r.doc_id: r.text_score for r in got}
+    assert min(text[i] for i in range(400) if i % 4) > max(text[i] for i in range(0, 400, 4))
