@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from murmura.runtime import scratch_path
@@ -70,3 +72,23 @@ def input_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column, summed by Spark."""
     from pyspark.sql import functions as F
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int,
+           limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of a text column, or of one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = min(stop, at + ROWS_OUT)
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def binary_rows(values: list[np.ndarray]) -> pa.Array:
+    """Flat arrays as one binary column."""
+    return pa.array([v.tobytes() for v in values], pa.binary())

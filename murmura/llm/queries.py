@@ -6,6 +6,7 @@ from murmura.llm.embedding_dedup import op3_embedding_dedup
 from murmura.llm.language_model import op9_language_model
 from murmura.llm.ngram_jaccard import op4_ngram_jaccard_join
 from murmura.llm.packing import op10_packing
+from murmura.llm.periodic_runs import op13_periodic_runs
 from murmura.llm.quality_classifier import op7_quality_classifier
 from murmura.llm.quality_rules import op1_quality_rules
 from murmura.llm.token_counts import op2_token_counts
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_language_model": op9_language_model,
     "op10_packing": op10_packing,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op5_chat_formatting": OP5_SQL}
