@@ -10,6 +10,7 @@ from murmura.llm.periodic_runs import op13_periodic_runs
 from murmura.llm.quality_classifier import op7_quality_classifier
 from murmura.llm.quality_rules import op1_quality_rules
 from murmura.llm.ranked_search import OP11_SQL, op11_ranked_search
+from murmura.llm.suffix_dedup import op12_suffix_dedup
 from murmura.llm.token_counts import op2_token_counts
 from murmura.llm.token_output import op6_token_output
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_language_model": op9_language_model,
     "op10_packing": op10_packing,
     "op11_ranked_search": op11_ranked_search,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op11_ranked_search": OP11_SQL}
