@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from murmura.llm.common import (binary_rows, input_bytes, map_array, save_array,
                                 shared_folder_for, slices, table)
-from murmura.runtime import materialize
+from murmura.runtime import materialize, scratch_path
 
 SPAN, GRAM = 100, 50
 PERIOD = 31
@@ -47,20 +47,23 @@ RANK_WORDS = 13
 """Words of SPAN bytes and more, by which sampled suffixes are ranked."""
 PAD = 512
 """Zero bytes after a flat text, so that every read ends inside it."""
-BUCKET = 2_000_000
+BUCKET = 1_000_000
 PER_BUCKET = 32
 """Places looked at for each bucket to choose its bounds."""
 BOUND_WORDS = 3
 PART_BYTES = 64 << 20
 """Text bytes whose smallest hashes one part holds."""
-SEGMENT = 1 << 16
+SEGMENT = 1 << 15
+CHUNK = 1 << 20
+"""Places of a flat text that are packed together, two bytes for each."""
+TEXTS = 4 << 20
+"""Bytes of text that a task looks at together."""
 NO_ID = np.iinfo(np.int64).min
 """Stands for a null doc_id: it comes before all others."""
 
 _random = np.random.default_rng(11)
 BYTES = _random.integers(1, 2 ** 63, 256).astype(np.uint64)
 BASE = 0x9E3779B97F4A7C15
-MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -87,10 +90,8 @@ def hashes(data: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(BYTES[data] * POWERS[:len(data)], out=sums[1:])
-    found = (sums[size:] - sums[:-size]) * INVERSE[:len(data) - size + 1]
-    found ^= found >> np.uint64(32)
-    found *= MIX
-    found ^= found >> np.uint64(29)
+    found = sums[size:] - sums[:-size]
+    found *= INVERSE[:len(found)]
     return found
 
 
@@ -104,7 +105,8 @@ def sliding(values: np.ndarray, width: int, best: Callable) -> np.ndarray:
         if width > have else values
 
 
-def window_minima(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def window_minima(data: np.ndarray, valid: np.ndarray,
+                  places: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The smallest hash of every valid window (else 0), and the hashes at the places taken."""
     width = SPAN - GRAM + 1
     minima, taken = np.zeros(len(data), np.uint64), []
@@ -116,6 +118,8 @@ def window_minima(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.n
         least = sliding(grams, width, np.minimum)
         least = np.where(valid[low:low + len(least)], least, np.uint64(0))
         minima[at:low + len(least)] = least[at - low:]
+        if not places:
+            continue
         # A place is taken if its hash is the smallest of some window that holds it.
         framed = np.zeros(len(grams) + width - 1, np.uint64)
         framed[width - 1:width - 1 + len(least)] = least
@@ -145,15 +149,17 @@ def words_at(data: np.ndarray) -> np.ndarray:
 # --- repeated hashes -------------------------------------------------------------
 
 def repeated_hashes(docs: DataFrame, folder: str, parts: int) -> None:
-    """Files of the window hashes that occur twice or more, one per range of hash values."""
+    """Files of the window hashes that occur twice or more, one per range of hash values.
+
+    Of a hash the part's number and the next 32 bits count. Two hashes taken for one make a
+    candidate more, never less.
+    """
     width = 1 << max(0, parts - 1).bit_length()
-    shift = np.uint64(64 - width.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, TEXTS):
             data, _, valid = joined(batch.column(0).to_pylist())
-            values, counts = np.unique(window_minima(data, valid)[1], return_counts=True)
-            part = (values >> shift).astype(np.int64) if width > 1 else np.zeros(len(values), int)
+            part, values, counts = parted(np.sort(window_minima(data, valid)[1]), width)
             bounds = np.searchsorted(part, np.arange(width + 1))
             some = [p for p in range(width) if bounds[p] < bounds[p + 1]]
             cut = [slice(bounds[p], bounds[p + 1]) for p in some]
@@ -162,8 +168,8 @@ def repeated_hashes(docs: DataFrame, folder: str, parts: int) -> None:
                 binary_rows([values[c][counts[c] > 1] for c in cut])], ["part", "once", "often"])
 
     def gather(rows: pa.Table) -> pa.Table:
-        once = np.frombuffer(b"".join(rows["once"].to_pylist()), np.uint64)
-        often = np.frombuffer(b"".join(rows["often"].to_pylist()), np.uint64)
+        once = np.frombuffer(b"".join(rows["once"].to_pylist()), np.uint32)
+        often = np.frombuffer(b"".join(rows["often"].to_pylist()), np.uint32)
         values, counts = np.unique(np.concatenate([once, often, often]), return_counts=True)
         save_array(f"{folder}/hashes-{rows['part'][0].as_py()}", values[counts > 1])
         return pa.table({"n": pa.array([int((counts > 1).sum())], pa.int64())})
@@ -172,57 +178,82 @@ def repeated_hashes(docs: DataFrame, folder: str, parts: int) -> None:
      .groupBy("part").applyInArrow(gather, "n long").agg(F.sum("n")).collect())
 
 
-def is_repeated(values: np.ndarray, folder: str, parts: int) -> np.ndarray:
-    """Which of some sorted hashes are in the files; one look-up for all of a file's."""
+def parted(sorted_hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes as part and 32 bits, and how often each occurs."""
+    bits = np.uint64(width.bit_length() - 1)
+    short = sorted_hashes >> (np.uint64(32) - bits)
+    opens = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])[:len(short)])
+    counts = np.diff(np.concatenate([opens, [len(short)]]))
+    return (short[opens] >> np.uint64(32)).astype(np.int64), short[opens].astype(np.uint32), counts
+
+
+def is_repeated(hashes_: np.ndarray, folder: str, parts: int) -> np.ndarray:
+    """Which hashes are in the files; one look-up for all of a file's."""
     width = 1 << max(0, parts - 1).bit_length()
+    order = np.argsort(hashes_)
+    part, values, counts = parted(hashes_[order], width)
     found = np.zeros(len(values), bool)
-    for p in range(width):
-        low = np.uint64(p * ((1 << 64) // width))
-        a = int(np.searchsorted(values, low))
-        b = len(values) if p + 1 == width else int(
-            np.searchsorted(values, np.uint64((p + 1) * ((1 << 64) // width))))
-        known = map_array(f"{folder}/hashes-{p}", np.uint64)
+    bounds = np.searchsorted(part, np.arange(width + 1))
+    for p, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        known = map_array(f"{folder}/hashes-{p}", np.uint32)
         if a < b and len(known):
             at = np.minimum(np.searchsorted(known, values[a:b]), len(known) - 1)
             found[a:b] = known[at] == values[a:b]
-    return found
+    back = np.empty(len(hashes_), bool)
+    back[order] = np.repeat(found, counts)
+    return back
 
 
 # --- candidate text ----------------------------------------------------------------
 
 def repeats_in_batch(data: np.ndarray, places: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of some windows equal an earlier one of the batch; ``rank`` orders the windows."""
+    found = np.zeros(len(places), bool)
     if not len(places):
-        return np.zeros(0, bool)
+        return found
     keys = np.empty(len(places), np.uint64)
     for at in range(0, len(data), SEGMENT):
         a, b = np.searchsorted(places, [at, at + SEGMENT])
         if a < b:
             keys[a:b] = hashes(data[at:at + SEGMENT + SPAN - 1], SPAN)[places[a:b] - at]
-    order = np.lexsort((rank, keys))
+    ordered = np.sort(keys)
+    twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(twice):
+        return found
+    some = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys)
+    keys = keys[some]
+    order = np.lexsort((rank[some], keys))
     opens = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
     first = order[np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))]
-    again, held = order[~opens], first[~opens]
+    again, held = some[order[~opens]], some[first[~opens]]
     same = np.ones(len(again), bool)
     words = words_at(data)
     for shift in [*range(0, SPAN - 8, 8), SPAN - 8]:
         same &= words[places[again] + shift] == words[places[held] + shift]
-    found = np.zeros(len(places), bool)
     found[again[same]] = True
     return found
 
 
+def windows_below(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes below windows as stretches, cut where a document of bounds ``ends`` stops."""
+    if not len(starts):
+        return starts, starts
+    doc = np.searchsorted(ends, starts, "right")
+    opens = np.concatenate([[True], (np.diff(starts) > SPAN) | (doc[1:] != doc[:-1])])
+    return starts[opens], starts[np.concatenate([opens[1:], [True]])] + SPAN
+
+
 def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of true flags."""
+    """Starts and ends of the runs of set flags."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
     return edges[::2], edges[1::2]
 
 
-def covered(size: int, starts: np.ndarray) -> np.ndarray:
-    """Flags of the bytes below the windows that start at ``starts``."""
+def covered(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Flags of the bytes in some stretches."""
     marks = np.zeros(size + 1, np.int32)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, starts + SPAN, -1)
+    np.add.at(marks, first, 1)
+    np.add.at(marks, last, -1)
     return np.cumsum(marks[:-1]) > 0
 
 
@@ -231,60 +262,58 @@ def candidate_text(docs: DataFrame, folder: str, parts: int) -> DataFrame:
 
     Per task f: ``text-f``; ``heads-f``, bits of the places whose suffixes are to be sorted; and
     per piece of a document ``start-f`` (in the file), ``row-f``, ``id-f`` and ``from-f`` (in the
-    document). Columns: row, doc_id, file, n_bytes, text where a verdict is open, plain where
-    none is (the digest of the whole text), settled (starts of windows that go already).
+    document). Columns: row, doc_id, file, n_bytes, rest (the bytes outside of pieces, where a
+    verdict is open), plain where none is (the digest of the whole text), settled (stretches that
+    go already).
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, size = TaskContext.get().partitionId(), 0
         draft = f"{folder}/text-{name}.{uuid.uuid4().hex}"
         kept: list[list] = [[], [], [], [], []]
         with open(draft, "wb") as out:
-            for batch in slices(batches, 2):
+            for batch in slices(batches, 2, TEXTS):
                 texts = batch.column(2).to_pylist()
                 ids = batch.column(1).fill_null(NO_ID).to_numpy()
                 rows = batch.column(0).to_numpy()
                 data, ends, valid = joined(texts)
-                minima, _ = window_minima(data, valid)
-                values, back = np.unique(minima, return_inverse=True)
-                candidate = valid & is_repeated(values, folder, parts)[back]
-                places = np.flatnonzero(candidate)
+                minima, _ = window_minima(data, valid, False)
+                opens = np.flatnonzero(np.concatenate([[True], minima[1:] != minima[:-1]])
+                                       [:len(minima)])
+                candidate = np.repeat(is_repeated(minima[opens], folder, parts),
+                                      np.diff(np.concatenate([opens, [len(minima)]])))
+                places = np.flatnonzero(candidate & valid)
                 doc = np.searchsorted(ends, places, "right") - 1
                 # Texts in order of doc_id, then row; inside a text by place.
                 rank = np.empty(len(texts), np.int64)
                 rank[np.lexsort((rows, ids))] = np.arange(len(texts))
                 again = repeats_in_batch(data, places, rank[doc] * (len(data) + 1) + places)
                 heads = places[~again]
-                if len(heads):
-                    below = np.zeros(len(data), bool)
-                    # Windows end inside their text, but pieces of two texts may touch.
-                    below[:] = covered(len(data), heads)
-                    first, last = stretches(below)
-                    bounds = ends[np.searchsorted(ends, first, "right")]
-                    while (last > bounds).any():
-                        over = last > bounds
-                        first = np.sort(np.concatenate([first, bounds[over]]))
-                        last = np.sort(np.concatenate([last, bounds[over]]))
-                        bounds = ends[np.searchsorted(ends, first, "right")]
-                    own = np.searchsorted(ends, first, "right") - 1
-                    into = size + np.concatenate([[0], np.cumsum(last - first)])
-                    piece = np.searchsorted(first, heads, "right") - 1
-                    for held, values_ in zip(kept, (into[:-1], rows[own], ids[own],
-                                                    first - ends[own],
-                                                    into[piece] + heads - first[piece])):
-                        held.append(values_)
-                    out.write(data[below].tobytes())
-                    size = int(into[-1])
+                first, last = windows_below(heads, ends)
+                own = np.searchsorted(ends, first, "right") - 1
+                into = size + np.concatenate([[0], np.cumsum(last - first)])
+                piece = np.searchsorted(first, heads, "right") - 1
+                for held, values in zip(kept, (into[:-1], rows[own], ids[own], first - ends[own],
+                                               into[piece] + heads - first[piece])):
+                    held.append(values)
+                below = np.zeros(len(data), bool)
+                for a, b in zip(first.tolist(), last.tolist()):
+                    out.write(data[a:b])
+                    below[a:b] = True
+                size = int(into[-1])
                 open_ = np.bincount(doc, minlength=len(texts)) > 0
-                gone = places[again] - ends[doc[again]]
-                split = np.split(gone, np.searchsorted(doc[again], np.arange(1, len(texts))))
+                gone, stop = windows_below(places[again], ends)
+                own = np.searchsorted(ends, gone, "right") - 1
+                settled = np.split(np.stack([gone, stop], 1) - ends[own][:, None],
+                                   np.searchsorted(own, np.arange(1, len(texts))))
                 yield pa.record_batch([
                     batch.column(0), batch.column(1), pa.array([name] * len(texts), pa.int64()),
                     pa.array(np.diff(ends)),
-                    pa.array([t if o else None for t, o in zip(texts, open_)], pa.string()),
+                    pa.array([data[a:b][~below[a:b]].tobytes() if o else None
+                              for a, b, o in zip(ends, ends[1:], open_)], pa.binary()),
                     pa.array([None if o else hashlib.sha256((t or "").encode()).hexdigest()
                               for t, o in zip(texts, open_)], pa.string()),
-                    binary_rows([s.astype(np.int64) for s in split])],
-                    ["row", "doc_id", "file", "n_bytes", "text", "plain", "settled"])
+                    binary_rows([x.astype(np.int64) for x in settled])],
+                    ["row", "doc_id", "file", "n_bytes", "rest", "plain", "settled"])
             out.write(bytes(PAD))
         bits = np.zeros(size, np.uint8)
         for places in kept[4]:
@@ -296,9 +325,11 @@ def candidate_text(docs: DataFrame, folder: str, parts: int) -> DataFrame:
         os.replace(draft, f"{folder}/text-{name}")
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return materialize(rows.mapInArrow(
-        run, "row long, doc_id long, file long, n_bytes long, text string, plain string, "
-             "settled binary"), "candidates")
+    schema = ("row long, doc_id long, file long, n_bytes long, rest binary, plain string, "
+              "settled binary")
+    path = scratch_path(docs.sparkSession, "candidates")
+    rows.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 class Flat:
@@ -318,24 +349,55 @@ class Flat:
     def size(self, file: int) -> int:
         return len(self.array("text", file, np.uint8)) - PAD
 
-    def read(self, files: np.ndarray, take: Callable) -> np.ndarray:
+    def read(self, files: np.ndarray, take: Callable, shape: tuple = (0,)) -> np.ndarray:
         """``take(file, slice)`` for each stretch of one file, joined; files stand in order."""
-        edges = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]
-        parts = [take(int(files[a]), slice(a, b)) for a, b in zip(edges, edges[1:]) if a < b]
-        return np.concatenate([np.zeros(0, np.uint64), *parts])
-
-    def words(self, files: np.ndarray, places: np.ndarray, shift: int) -> np.ndarray:
-        return self.read(files, lambda f, s: words_at(self.array("text", f, np.uint8))[
-            places[s] + shift].astype(np.uint64))
+        parts = [take(int(files[s.start]), s) for s in stretches_of(files)]
+        return np.concatenate(parts) if parts else np.zeros(shape, np.uint64)
+
+    def words(self, files: np.ndarray, places: np.ndarray, count: int,
+              shift: int = 0) -> np.ndarray:
+        """``count`` words from each place on, one row for each."""
+        def take(file: int, some: slice) -> np.ndarray:
+            text = self.array("text", file, np.uint8)
+            rows = np.ndarray((len(text) - 8 * count + 1, count), ">u8", text, strides=(1, 8))
+            return rows[places[some] + shift].astype(np.uint64)
+        return self.read(files, take, (0, count))
 
     def ranks(self, files: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Ranks of the sampled places that follow each place, one column each."""
-        found = np.empty((len(places), len(COVER)), np.uint64)
-        for k in range(len(COVER)):
-            at = places + SHIFTS[places % PERIOD, k]
-            index = at // PERIOD * len(COVER) + PLACE[at % PERIOD]
-            found[:, k] = self.read(files, lambda f, s: self.array("rank", f, np.uint64)[index[s]])
-        return found
+        """Ranks of the sampled places that follow each place, one row for each."""
+        at = places + SHIFTS[places % PERIOD, 0]
+        index = at // PERIOD * len(COVER) + PLACE[at % PERIOD]
+
+        def take(file: int, some: slice) -> np.ndarray:
+            held = self.array("rank", file, np.uint64)
+            rows = np.ndarray((len(held) - len(COVER) + 1, len(COVER)), np.uint64, held,
+                              strides=(8, 8))
+            return rows[index[some]]
+        return self.read(files, take, (0, len(COVER)))
+
+
+def stretches_of(*columns: np.ndarray) -> list[slice]:
+    """Slices in which all columns keep their values."""
+    if not len(columns[0]):
+        return []
+    changes = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        changes |= c[1:] != c[:-1]
+    edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(columns[0])]
+    return [slice(a, b) for a, b in zip(edges, edges[1:])]
+
+
+def pack(places: np.ndarray) -> bytes:
+    """Rising places of one chunk: how many of each 65,536, then the low two bytes of each."""
+    counts = np.bincount(places >> 16, minlength=CHUNK >> 16).astype(np.uint32)
+    return counts.tobytes() + places.astype(np.uint16).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    blocks = CHUNK >> 16
+    counts = np.frombuffer(packed, np.uint32, blocks)
+    return (np.repeat(np.arange(blocks, dtype=np.int64) << 16, counts)
+            + np.frombuffer(packed, np.uint16, offset=4 * blocks))
 
 
 # --- buckets -----------------------------------------------------------------------
@@ -352,10 +414,8 @@ def bucket_bounds(spark: SparkSession, folder: str, files: DataFrame, total: int
         for batch in batches:
             for f in batch.column(0).to_pylist():
                 places = np.arange(f % step, flat.size(f), step)
-                words = [flat.words(np.full(len(places), f), places, 8 * i)
-                         for i in range(BOUND_WORDS)]
-                yield pa.record_batch([pa.array([np.stack(words, 1).tobytes()], pa.binary())],
-                                      ["words"])
+                words = flat.words(np.full(len(places), f), places, BOUND_WORDS)
+                yield pa.record_batch([binary_rows([words])], ["words"])
 
     seen = np.concatenate([np.zeros((0, BOUND_WORDS), np.uint64), *(
         np.frombuffer(r.words, np.uint64).reshape(-1, BOUND_WORDS)
@@ -364,18 +424,19 @@ def bucket_bounds(spark: SparkSession, folder: str, files: DataFrame, total: int
     return np.unique(seen[PER_BUCKET::PER_BUCKET], axis=0)
 
 
-def bucket_of(bounds: np.ndarray, word: Callable[[np.ndarray, int], np.ndarray], members: np.ndarray,
-              level: int = 0) -> np.ndarray:
-    """How many bounds each suffix reaches; ``word`` gives a word of some members."""
-    keys = word(members, level)
+def bucket_of(bounds: np.ndarray, word: Callable[[np.ndarray | slice, int], np.ndarray],
+              some: np.ndarray | slice = slice(None), level: int = 0) -> np.ndarray:
+    """How many bounds each suffix reaches; ``word`` gives a word of some of the suffixes."""
+    keys = word(some, level)
     low = np.searchsorted(bounds[:, level], keys, "left")
     high = np.searchsorted(bounds[:, level], keys, "right")
     if level + 1 < BOUND_WORDS:
         unsure = np.flatnonzero(low < high)
         for a in np.unique(low[unsure]):
-            some = unsure[low[unsure] == a]
-            b = high[some[0]]
-            high[some] = a + bucket_of(bounds[a:b], word, members[some], level + 1)
+            own = unsure[low[unsure] == a]
+            b = high[own[0]]
+            high[own] = a + bucket_of(bounds[a:b], word, own if level == 0 else some[own],
+                                      level + 1)
     return high
 
 
@@ -386,28 +447,27 @@ def dealt(files: DataFrame, folder: str, bounds: np.ndarray, heads: bool) -> Dat
         for batch in batches:
             for f in batch.column(0).to_pylist():
                 size = flat.size(f)
-                for at in range(0, size, BUCKET):
-                    end = min(at + BUCKET, size)
+                for at in range(0, size, CHUNK):
+                    end = min(at + CHUNK, size)
                     if heads:
                         bits = np.unpackbits(flat.array("heads", f, np.uint8)[at // 8:-(-end // 8)])
-                        places = at + np.flatnonzero(bits[:end - at])
+                        places = np.flatnonzero(bits[:end - at])
                     else:
-                        places = np.arange(at, end)
-                        places = places[PLACE[places % PERIOD] >= 0]
+                        places = np.flatnonzero(PLACE[np.arange(at, end) % PERIOD] >= 0)
                     if not len(places):
                         continue
-                    whole = np.full(len(places), f)
-                    bucket = bucket_of(
-                        bounds, lambda m, i: flat.words(whole[m], places[m], 8 * i),
-                        np.arange(len(places)))
+                    words = words_at(flat.array("text", f, np.uint8))
+                    bucket = bucket_of(bounds, lambda m, i: words[at + places[m] + 8 * i]
+                                       .astype(np.uint64))
                     order = np.argsort(bucket, kind="stable")
-                    some, starts = np.unique(bucket[order], return_index=True)
-                    parts = np.split((places[order] - at).astype(np.uint32), starts[1:])
-                    for a in range(0, len(some), 1_000):
-                        chosen = parts[a:a + 1_000]
+                    cut = stretches_of(bucket[order])
+                    for a in range(0, len(cut), 1_000):
+                        own = cut[a:a + 1_000]
                         yield pa.record_batch([
-                            pa.array(some[a:a + 1_000]), pa.array([f] * len(chosen), pa.int64()),
-                            pa.array([at] * len(chosen), pa.int64()), binary_rows(chosen)],
+                            pa.array([int(bucket[order[c.start]]) for c in own], pa.int64()),
+                            pa.array([f] * len(own), pa.int64()),
+                            pa.array([at] * len(own), pa.int64()),
+                            pa.array([pack(places[order[c]]) for c in own], pa.binary())],
                             ["bucket", "file", "base", "places"])
 
     return files.mapInArrow(run, "bucket long, file long, base long, places binary")
@@ -416,126 +476,148 @@ def dealt(files: DataFrame, folder: str, bounds: np.ndarray, heads: bool) -> Dat
 def members(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Files and places of one bucket, in order."""
     rows = rows.sort_by([("file", "ascending"), ("base", "ascending")])
-    parts = [np.frombuffer(p, np.uint32) for p in rows["places"].to_pylist()]
+    parts = [unpack(p) for p in rows["places"].to_pylist()]
     sizes = [len(p) for p in parts]
     return (np.repeat(rows["file"].to_numpy(), sizes),
             np.concatenate(parts) + np.repeat(rows["base"].to_numpy(), sizes))
 
 
-def split_ties(rank: np.ndarray, tied: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order members of equal rank by a key; ``rank`` counts the members before a group.
+class Ties:
+    """Members of a bucket in order, as far as it is known: groups of ties stand together.
 
-    Returns the tied members in their new order and where a new group opens.
+    ``order`` holds the members that share a group with another one, ``opens`` where a group
+    starts among them; ``rank`` counts the members before a member's group.
     """
-    old = rank[tied]
-    order = np.lexsort((keys, old)) if old.any() else np.argsort(keys, kind="stable")
-    tied, old, keys = tied[order], old[order], keys[order]
-    fresh = np.concatenate([[True], old[1:] != old[:-1]])
-    opens = fresh.copy()
-    opens[1:] |= keys[1:] != keys[:-1]
-    number = np.arange(len(tied))
-    rank[tied] = old + (np.maximum.accumulate(np.where(opens, number, 0))
-                        - np.maximum.accumulate(np.where(fresh, number, 0)))
-    return tied, opens
-
-
-def alone(opens: np.ndarray) -> np.ndarray:
-    """Which members are their group's only one."""
-    return opens & np.concatenate([opens[1:], [True]])
-
-
-def sort_by_words(flat: Flat, files: np.ndarray, places: np.ndarray,
-                  words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks by the first words, equal for ties, and the members still tied."""
-    rank, tied = np.zeros(len(places), np.int64), np.arange(len(places))
+
+    def __init__(self, size: int):
+        self.rank = np.zeros(size, np.int64)
+        self.order = np.arange(size)
+        self.opens = np.arange(size) == 0
+
+    def split(self, keys: np.ndarray) -> None:
+        """Part the groups by a key of each of ``order``; groups of one key are not sorted."""
+        group = np.cumsum(self.opens) - 1
+        differs = np.concatenate([[False], ~self.opens[1:] & (keys[1:] != keys[:-1])])
+        if not differs.any():
+            return
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[differs]] = True
+        own = np.flatnonzero(mixed[group])
+        by = np.lexsort((keys[own], group[own])) if len(mixed) > 1 else np.argsort(
+            keys, kind="stable")
+        self.order[own] = self.order[own][by]
+        keys, group = keys[own][by], group[own]
+        fresh = np.concatenate([[True], group[1:] != group[:-1]])
+        opens = fresh.copy()
+        opens[1:] |= keys[1:] != keys[:-1]
+        number = np.arange(len(own))
+        self.rank[self.order[own]] += (np.maximum.accumulate(np.where(opens, number, 0))
+                                       - np.maximum.accumulate(np.where(fresh, number, 0)))
+        self.opens[own] = opens
+
+    def drop(self, done: np.ndarray | None = None) -> None:
+        """Let go of members that are alone in their group, and of whole groups that are done."""
+        left = ~(self.opens & np.concatenate([self.opens[1:], [True]]))
+        if done is not None:
+            left &= ~done
+        self.order, self.opens = self.order[left], self.opens[left]
+
+
+def sort_by_words(flat: Flat, files: np.ndarray, places: np.ndarray, words: int) -> Ties:
+    """Ranks by the first words, equal for ties."""
+    ties = Ties(len(places))
+    held = flat.words(files, places, words)
     for i in range(words):
-        if not len(tied):
-            break
-        tied, opens = split_ties(rank, tied, flat.words(files[tied], places[tied], 8 * i))
-        tied = np.sort(tied[~alone(opens)])
-    return rank, tied
+        if len(ties.order):
+            ties.split(held[ties.order, i])
+            ties.drop()
+    return ties
 
 
-def resolve(rank: np.ndarray, tied: np.ndarray, phase: np.ndarray, ranks: np.ndarray) -> None:
+def resolve(ties: Ties, phase: np.ndarray, ranks: np.ndarray) -> None:
     """Order ties by cover-sample ranks: each group is parted by one of its members, repeatedly.
 
-    ``phase`` and ``ranks`` stand beside ``tied``: remainders, and ranks of the next sampled places.
+    ``phase`` and ``ranks`` are members' remainders, and the ranks of their next sampled places.
     """
-    at = np.zeros(len(rank), np.int64)
-    at[tied] = np.arange(len(tied))
-    while len(tied):
-        tied = tied[np.argsort(rank[tied], kind="stable")]
-        groups = rank[tied]
-        starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-        sizes = np.diff(np.concatenate([starts, [len(tied)]]))
-        pivot = np.repeat(at[tied[starts + sizes // 2]], sizes)
-        own = at[tied]
+    while len(ties.order):
+        starts = np.flatnonzero(ties.opens)
+        sizes = np.diff(np.concatenate([starts, [len(ties.order)]]))
+        own, pivot = ties.order, np.repeat(ties.order[starts + sizes // 2], sizes)
         mine = ranks[own, MEETING[phase[own], phase[pivot]]]
         its = ranks[pivot, MEETING[phase[pivot], phase[own]]]
         side = (mine > its).astype(np.int8) - (mine < its)
-        equal = np.zeros(len(rank), bool)
-        equal[tied[side == 0]] = True
-        tied, opens = split_ties(rank, tied, side)
-        tied = tied[~(alone(opens) | equal[tied])]
+        equal = np.zeros(len(ties.rank), bool)
+        equal[own[side == 0]] = True
+        ties.split(side)
+        ties.drop(equal[ties.order])
 
 
 def sample_ranks(files: DataFrame, folder: str, bounds: np.ndarray) -> None:
     """Write the ranks of all sampled suffixes beside their texts."""
     def rank(rows: pa.Table) -> pa.Table:
         where, places = members(rows)
-        found, _ = sort_by_words(Flat(folder), where, places, RANK_WORDS)
-        found += rows["bucket"][0].as_py() << 32
-        edges = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
-        cut = [slice(a, b) for a, b in zip(edges, edges[1:])]
+        found = sort_by_words(Flat(folder), where, places, RANK_WORDS).rank
+        cut = stretches_of(where, places // CHUNK)
         return pa.table({"file": pa.array([int(where[c.start]) for c in cut], pa.int64()),
-                         "places": binary_rows([places[c].astype(np.int64) for c in cut]),
-                         "ranks": binary_rows([found[c] for c in cut])})
+                         "bucket": pa.array([rows["bucket"][0].as_py()] * len(cut), pa.int64()),
+                         "base": pa.array([int(places[c.start]) // CHUNK * CHUNK for c in cut],
+                                          pa.int64()),
+                         "places": pa.array([pack(places[c] % CHUNK) for c in cut], pa.binary()),
+                         "ranks": binary_rows([found[c].astype(np.uint32) for c in cut])})
 
     def place(rows: pa.Table) -> pa.Table:
         file = rows["file"][0].as_py()
         size = Flat(folder).size(file)
         values = np.zeros((size // PERIOD + 3) * len(COVER), np.int64)
-        for at, found in zip(rows["places"].to_pylist(), rows["ranks"].to_pylist()):
-            at = np.frombuffer(at, np.int64)
-            values[at // PERIOD * len(COVER) + PLACE[at % PERIOD]] = np.frombuffer(found, np.int64)
+        for bucket, base, packed, found in zip(*(
+                rows[c].to_pylist() for c in ("bucket", "base", "places", "ranks"))):
+            at = unpack(packed) + base
+            values[at // PERIOD * len(COVER) + PLACE[at % PERIOD]] = (
+                (bucket << 32) + np.frombuffer(found, np.uint32).astype(np.int64))
         save_array(f"{folder}/rank-{file}", values)
         return pa.table({"n": pa.array([len(values)], pa.int64())})
 
     (dealt(files, folder, bounds, False).groupBy("bucket")
-     .applyInArrow(rank, "file long, places binary, ranks binary")
+     .applyInArrow(rank, "file long, bucket long, base long, places binary, ranks binary")
      .groupBy("file").applyInArrow(place, "n long").agg(F.sum("n")).collect())
 
 
 def later_windows(flat: Flat, files: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Which suffixes of a bucket share SPAN bytes with an earlier one."""
-    rank, tied = sort_by_words(flat, files, places, DEEP)
-    near = rank.copy()
-    resolve(rank, tied, places[tied] % PERIOD, flat.ranks(files[tied], places[tied]))
+    ties = sort_by_words(flat, files, places, DEEP)
+    near, tied = ties.rank.copy(), np.sort(ties.order)
+    gone = np.zeros(len(places), bool)
+    if not len(tied):
+        return gone
+    ranks = np.zeros((len(places), len(COVER)), np.uint64)
+    ranks[tied] = flat.ranks(files[tied], places[tied])
+    resolve(ties, places % PERIOD, ranks)
+    rank = ties.rank
     order = tied[np.argsort(rank[tied], kind="stable")]
-    if not len(order):
-        return np.zeros(len(places), bool)
     # Neighbours of one rank are equal beyond SPAN; others may differ only after it.
     same = rank[order][1:] == rank[order][:-1]
     unsure = np.flatnonzero(~same & (near[order][1:] == near[order][:-1]))
     both = np.unique(np.concatenate([order[unsure], order[unsure + 1]]))
     spot = np.zeros(len(places), np.int64)
     spot[both] = np.arange(len(both))
+    a, b = spot[order[unsure]], spot[order[unsure + 1]]
     alike = np.ones(len(unsure), bool)
     for shift in [*range(8 * DEEP, SPAN - 8, 8), SPAN - 8]:
-        words = flat.words(files[both], places[both], shift)
-        alike &= words[spot[order[unsure]]] == words[spot[order[unsure + 1]]]
+        words = flat.words(files[both], places[both], 1, shift)[:, 0]
+        alike &= words[a] == words[b]
     same[unsure[alike]] = True
-    group = np.zeros(len(places), np.int64)
-    group[order] = np.cumsum(np.concatenate([[True], ~same]))
-    ids = flat.read(files[tied], lambda f, s: flat.array("id", f, np.int64)[
-        np.searchsorted(flat.array("start", f, np.int64), places[tied][s], "right") - 1]
-        .astype(np.int64)).astype(np.int64)
-    # Tied members stand by file and place, that is by row and place: the sort keeps that order.
-    by = np.lexsort((ids, group[tied]))
-    again = np.concatenate([[False], group[tied][by][1:] == group[tied][by][:-1]])
-    found = np.zeros(len(places), bool)
-    found[tied[by[again]]] = True
-    return found
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    sizes = np.diff(np.concatenate([starts, [len(order)]]))
+    ids = np.zeros(len(places), np.int64)
+    ids[tied] = flat.read(files[tied], lambda f, s: flat.array("id", f, np.int64)[
+        np.searchsorted(flat.array("start", f, np.int64), places[tied][s], "right") - 1])
+    # Members are numbered by file and place, that is by row and place: of those with a group's
+    # smallest doc_id the first member stays.
+    least = np.repeat(np.minimum.reduceat(ids[order], starts), sizes)
+    first = np.minimum.reduceat(np.where(ids[order] == least, order, len(places)), starts)
+    gone[order] = True
+    gone[first] = False
+    return gone
 
 
 def mark_repeats(files: DataFrame, folder: str, bounds: np.ndarray) -> None:
@@ -544,21 +626,22 @@ def mark_repeats(files: DataFrame, folder: str, bounds: np.ndarray) -> None:
         where, places = members(rows)
         found = later_windows(Flat(folder), where, places)
         where, places = where[found], places[found]
-        edges = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
-        cut = [slice(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+        cut = stretches_of(where, places // CHUNK)
         return pa.table({"file": pa.array([int(where[c.start]) for c in cut], pa.int64()),
-                         "places": binary_rows([places[c].astype(np.int64) for c in cut])})
+                         "base": pa.array([int(places[c.start]) // CHUNK * CHUNK for c in cut],
+                                          pa.int64()),
+                         "places": pa.array([pack(places[c] % CHUNK) for c in cut], pa.binary())})
 
     def place(rows: pa.Table) -> pa.Table:
         file = rows["file"][0].as_py()
         bits = np.zeros(Flat(folder).size(file), np.uint8)
-        for at in rows["places"].to_pylist():
-            bits[np.frombuffer(at, np.int64)] = 1
+        for base, packed in zip(rows["base"].to_pylist(), rows["places"].to_pylist()):
+            bits[unpack(packed) + base] = 1
         save_array(f"{folder}/gone-{file}", np.packbits(bits))
         return pa.table({"n": pa.array([int(bits.sum())], pa.int64())})
 
     (dealt(files, folder, bounds, True).groupBy("bucket")
-     .applyInArrow(sort, "file long, places binary")
+     .applyInArrow(sort, "file long, base long, places binary")
      .groupBy("file").applyInArrow(place, "n long").agg(F.sum("n")).collect())
 
 
@@ -572,23 +655,30 @@ def cut_documents(candidates: DataFrame, folder: str) -> DataFrame:
     """Documents with open verdicts without their repeated bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = Flat(folder)
-        for batch in slices(batches, 3):
+        for batch in slices(batches, 4, TEXTS):
             out = []
-            for row, doc_id, file, text, settled in zip(
-                    *(batch.column(i).to_pylist() for i in range(5))):
-                data = np.frombuffer(text.encode(), np.uint8)
-                starts = [np.frombuffer(settled, np.int64)]
+            for row, doc_id, file, size, rest, settled in zip(
+                    *(batch.column(i).to_pylist() for i in range(6))):
+                held = [np.frombuffer(settled, np.int64).reshape(-1, 2)]
                 rows = flat.array("row", file, np.int64)
                 bits = flat.array("gone", file, np.uint8)
-                a, b = np.searchsorted(rows, [row, row + 1])
+                text = flat.array("text", file, np.uint8)
                 at = flat.array("start", file, np.int64)
-                for piece in range(a, b if len(bits) else a):
+                data, below = np.empty(size, np.uint8), np.zeros(size, bool)
+                a, b = np.searchsorted(rows, [row, row + 1])
+                for piece in range(a, b):
                     first = int(at[piece])
                     last = int(at[piece + 1]) if piece + 1 < len(at) else flat.size(file)
-                    own = np.unpackbits(bits[first // 8:-(-last // 8)])[first % 8:][:last - first]
-                    starts.append(np.flatnonzero(own) + int(
-                        flat.array("from", file, np.int64)[piece]))
-                gone = covered(len(data), np.concatenate(starts))
+                    shift = int(flat.array("from", file, np.int64)[piece])
+                    data[shift:shift + last - first] = text[first:last]
+                    below[shift:shift + last - first] = True
+                    if len(bits):
+                        own = np.unpackbits(bits[first // 8:-(-last // 8)])
+                        begin, stop = stretches(own[first % 8:][:last - first])
+                        held.append(np.stack([begin, stop + SPAN - 1], 1) + shift)
+                data[~below] = np.frombuffer(rest, np.uint8)
+                both = np.concatenate(held)
+                gone = covered(len(data), both[:, 0], both[:, 1])
                 kept = data[~gone].tobytes()
                 spans = np.stack(stretches(gone), 1).astype(np.int64)
                 out.append((doc_id, len(data), int(gone.sum()), len(spans),
@@ -597,7 +687,8 @@ def cut_documents(candidates: DataFrame, folder: str) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return candidates.select("row", "doc_id", "file", "text", "settled").mapInArrow(run, RESULT)
+    return candidates.select("row", "doc_id", "file", "n_bytes", "rest", "settled").mapInArrow(
+        run, RESULT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -615,15 +706,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = max(1, -(-input_bytes(docs) // PART_BYTES))
     repeated_hashes(docs, folder, parts)
     candidates = candidate_text(docs, folder, parts)
-    found = candidates.filter(F.col("text").isNotNull())
-    files = materialize(found.groupBy("file").agg(F.count("*").alias("n"))
-                        .select("file").repartition(F.col("file")), "files")
+    found = candidates.filter(F.col("plain").isNull())
+    files = materialize(found.select("file").distinct(), "files")
+    files = files.repartition(max(1, files.count()))  # one row a task, each a whole flat text
     total = found.agg(F.sum("n_bytes")).first()[0] or 0
     if total:
         bounds = bucket_bounds(spark, folder, files, total)
         sample_ranks(files, folder, bounds)
         mark_repeats(files, folder, bounds)
-    whole = candidates.filter(F.col("text").isNull()).select(
+    whole = candidates.filter(F.col("plain").isNotNull()).select(
         "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"),
         F.lit(0).cast("long").alias("n_spans"), F.col("plain").alias("kept_sha256"),
         F.lit(None).cast("binary").alias("kept"), F.lit(None).cast("binary").alias("spans"))

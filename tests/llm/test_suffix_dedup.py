@@ -54,10 +54,9 @@ def test_cover_meets_for_every_two_places():
             assert a == b < S.PERIOD and (r + a) % S.PERIOD in S.COVER and (q + a) % S.PERIOD in S.COVER
 
 
-@pytest.mark.parametrize("partitions, bucket, segment", [(1, 2_000_000, 1 << 16), (5, 700, 256)])
-def test_removed_bytes_equal_brute_force(spark, monkeypatch, partitions, bucket, segment):
-    monkeypatch.setattr(S, "BUCKET", bucket - bucket % 8)
-    monkeypatch.setattr(S, "SEGMENT", segment)
+@pytest.mark.parametrize("partitions, bucket", [(1, 1_000_000), (5, 700)])
+def test_removed_bytes_equal_brute_force(spark, monkeypatch, partitions, bucket):
+    monkeypatch.setattr(S, "BUCKET", bucket)
     docs = random_docs(partitions)
     rows = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(
         "*", "'x' AS row", "1 AS file", "text AS kept").coalesce(1)
@@ -68,6 +67,34 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, partitions, bucket,
     assert S.remove_repeats(rows.limit(0)).count() == 0
 
 
+def test_window_minima_across_segments(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 100, 700).astype(np.uint8)
+    data[300:420], valid = 98, np.ones(700, bool)
+    valid[250:349] = valid[601:] = False
+    grams = S.hashes(data, S.GRAM)
+    width = S.SPAN - S.GRAM + 1
+    windows = [i for i in range(601) if valid[i]]
+    monkeypatch.setattr(S, "SEGMENT", 64)
+    powers = [pow(pow(S.BASE, -1, 1 << 64), i, 1 << 64) for i in range(3)]
+    assert S.INVERSE[:3].tolist() == powers
+    minima, taken = S.window_minima(data, valid)
+    assert len(np.unique(minima)) > 5
+    groups = {}
+    for i in windows:  # hashes are relative to their segment's start: equal windows, equal minima
+        groups.setdefault(data[i:i + S.SPAN].tobytes(), set()).add(int(minima[i]))
+    assert all(len(g) == 1 for g in groups.values()) and not minima[~valid].any()
+    assert [int(grams[i:i + width].min()) for i in windows] == minima[windows].tolist()
+    places = {j for i in windows for j in range(i, i + width) if grams[j] == grams[i:i + width].min()}
+    assert sorted(taken.tolist()) == sorted(grams[sorted(places)].tolist())
+
+
+def test_places_are_packed_and_read_back():
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 500, 90_000):
+        places = np.sort(rng.choice(S.CHUNK, size, replace=False))
+        assert S.unpack(S.pack(places)).tolist() == places.tolist()
+
+
 def test_ranks_settle_long_ties(monkeypatch):
     rng = np.random.default_rng(5)
     base = rng.integers(97, 100, 400).astype(np.uint8)
@@ -77,7 +104,7 @@ def test_ranks_settle_long_ties(monkeypatch):
     flat.held = {("text", 0): text, ("id", 0): np.zeros(1, np.int64), ("start", 0): np.zeros(1, np.int64)}
     places = np.arange(size)
     sampled = places[S.PLACE[places % S.PERIOD] >= 0]
-    found, _ = S.sort_by_words(flat, np.zeros(len(sampled), int), sampled, S.RANK_WORDS)
+    found = S.sort_by_words(flat, np.zeros(len(sampled), int), sampled, S.RANK_WORDS).rank
     ranks = np.zeros((size // S.PERIOD + 3) * len(S.COVER), np.uint64)
     ranks[sampled // S.PERIOD * len(S.COVER) + S.PLACE[sampled % S.PERIOD]] = found
     flat.held["rank", 0] = ranks
