@@ -13,6 +13,9 @@ other joins the one whose projection has the largest inner product with its own.
 its documents and its summary, the coordinatewise maximum of their vectors. Coordinates that a
 SHARED part of a shard's documents have are kept once for the shard, at their maximum there.
 
+As lists are searched from rare to common terms, a block's summary only has the coordinates that
+are as common as its own term or more so.
+
 Search. An item's lists are read from the rarest term on. A document that no earlier list named
 holds none of the earlier terms, so the remaining coordinates of a block's summary bound its score
 from above; blocks whose bound is below the item's tenth best score so far are skipped, documents
@@ -34,15 +37,16 @@ from pyspark.sql import functions as F
 
 from murmura.llm.common import binary_rows, slices, table
 from murmura.operators.skew import with_global_order
-from murmura.runtime import materialize
+from murmura.runtime import materialize, scratch_path
 
 ITEMS = 1_000
 """Items whose terms are indexed and searched together; more items take further passes."""
-SHARD, BLOCK = 4_096, 128
+SHARD, BLOCK = 4_096, 256
 """Documents of a shard, and of a block at most."""
-SHARDS_A_TASK = 64
+SHARDS_A_TASK = 8
+"""Shards that a task makes and a file holds; a shard is some 10 MB."""
 PLANES, SIGNS, SEED = 32, 16, 7
-SHARED = 8
+SHARED = 16
 """A coordinate that one in SHARED of a shard's documents have is kept once for the shard."""
 STEP = 16
 """Maxima are rounded up to multiples of this, which fit 16 bits."""
@@ -72,7 +76,7 @@ def document_vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame
                              if t in vocabulary)
                 sizes.append(len(words))
                 terms.append(np.array([t for t, _ in own], np.int32))
-                counts.append(np.array([c for _, c in own], np.int64))
+                counts.append(np.array([c for _, c in own], np.int32))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()),
                                    binary_rows(terms), binary_rows(counts)],
                                   ["row", "doc_id", "n", "terms", "counts"])
@@ -127,7 +131,8 @@ def unpacked(batch: pa.RecordBatch, terms: int, counts: int):
     parts = batch.column(terms).to_pylist()
     ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
     return (np.frombuffer(b"".join(parts), np.int32),
-            np.frombuffer(b"".join(batch.column(counts).to_pylist()), np.int64), ends)
+            np.frombuffer(b"".join(batch.column(counts).to_pylist()), np.int32).astype(np.int64),
+            ends)
 
 
 def cut_list(docs: np.ndarray, around: np.ndarray) -> list[np.ndarray]:
@@ -148,16 +153,19 @@ class Shard:
 
     FIELDS = (("doc_ids", np.int64), ("rows", np.int64), ("ends", np.int64), ("terms", np.int32),
               ("values", np.int32), ("block_terms", np.int32), ("block_ends", np.int64),
-              ("block_docs", np.int32), ("summary_ends", np.int64), ("summary_terms", np.int32),
+              ("block_docs", np.int32), ("summary_ends", np.int64), ("summary_places", np.uint16),
               ("summary_tops", np.uint16), ("shared_terms", np.int32), ("shared_tops", np.int32))
 
     @classmethod
-    def build(cls, doc_ids, rows, ends, terms, values, weights, basis) -> Shard:
+    def build(cls, doc_ids, rows, ends, terms, values, weights, basis, turn) -> Shard:
+        """``turn``: each term's place in the order from rare to common."""
         self = cls()
         self.doc_ids, self.rows, self.ends = doc_ids, rows, ends
         self.terms, self.values = terms, values.astype(np.int32)
         count = len(doc_ids)
         known, column = np.unique(terms, return_inverse=True)
+        if len(known) > 1 << 16:
+            raise ValueError("more than 65,536 asked terms in a shard; search fewer items at once")
         held = np.repeat(np.arange(count), np.diff(ends))
         df = np.bincount(column, minlength=len(known))
         tops = np.zeros(len(known), np.int32)
@@ -173,20 +181,21 @@ class Shard:
         around = project(terms, values, ends, weights, basis)
         order = np.argsort(column, kind="stable")
         starts = np.concatenate([[0], np.cumsum(df)])
-        block_terms, blocks, summary_terms, summary_tops = [], [], [], []
+        block_terms, blocks, summary_places, summary_tops = [], [], [], []
+        later = turn[known[own]]
         for i, term in enumerate(known):
             for block in cut_list(held[order[starts[i]:starts[i + 1]]], around):
                 summary = dense[block].max(axis=0)
-                some = np.flatnonzero(summary)
+                some = np.flatnonzero((summary > 0) & (later >= turn[term]))
                 block_terms.append(term)
                 blocks.append(block)
-                summary_terms.append(known[own[some]])
+                summary_places.append(own[some])
                 summary_tops.append(summary[some])
         self.block_terms = np.array(block_terms, np.int32)
         self.block_ends = np.concatenate([[0], np.cumsum([len(b) for b in blocks])])
         self.block_docs = np.concatenate([np.zeros(0, np.int32), *blocks])
-        self.summary_ends = np.concatenate([[0], np.cumsum([len(b) for b in summary_terms])])
-        self.summary_terms = np.concatenate([np.zeros(0, np.int32), *summary_terms])
+        self.summary_ends = np.concatenate([[0], np.cumsum([len(b) for b in summary_places])])
+        self.summary_places = np.concatenate([np.zeros(0, np.int64), *summary_places])
         self.summary_tops = np.concatenate([np.zeros(0, np.uint16), *summary_tops])
         return self
 
@@ -209,7 +218,7 @@ class Shard:
         self.vectors[np.repeat(np.arange(count), np.diff(self.ends)), column] = self.values
         self.tops = np.zeros((len(self.block_terms), len(self.known)), np.uint16)
         at = np.repeat(np.arange(len(self.block_terms)), np.diff(self.summary_ends))
-        self.tops[at, np.searchsorted(self.known, self.summary_terms)] = self.summary_tops
+        self.tops[at, self.summary_places] = self.summary_tops
         self.tops[:, np.searchsorted(self.known, self.shared_terms)] = -(-self.shared_tops // STEP)
         self.most = self.vectors.max(axis=0, initial=0).astype(np.int64)
         # Blocks of a list are neighbours, and lists stand in the order of their terms.
@@ -276,6 +285,8 @@ class Best:
 def build_index(vectors: DataFrame, df: np.ndarray, total: int, words: int) -> DataFrame:
     """A written table of shards; see ``Shard.FIELDS``."""
     weights = np.array([weight(total, int(x)) for x in df], np.int64)
+    turn = np.empty(len(df), np.int64)
+    turn[np.lexsort((np.arange(len(df)), df))] = np.arange(len(df))
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         basis = planes(len(weights))
@@ -298,7 +309,7 @@ def build_index(vectors: DataFrame, df: np.ndarray, total: int, words: int) -> D
             values = impacts(rows.column(2).to_numpy(), ends, counts, total, words)
             ids = rows.column(1).fill_null(NO_ID).to_numpy()
             made = Shard.build(ids, rows.column(0).to_numpy(), ends, terms, values, weights,
-                               basis)
+                               basis, turn)
             return pa.record_batch([pa.array([x], pa.binary()) for x in made.packed()],
                                    [name for name, _ in Shard.FIELDS])
 
@@ -316,12 +327,14 @@ def build_index(vectors: DataFrame, df: np.ndarray, total: int, words: int) -> D
     tasks = max(vectors.sparkSession.sparkContext.defaultParallelism,
                 -(-total // (SHARD * SHARDS_A_TASK)))
     # The row settles ties, so that many equal vectors are dealt over several tasks.
-    coded = materialize(vectors.filter(F.octet_length("terms") > 0).mapInArrow(
-        codes, "row long, doc_id long, n long, terms binary, counts binary, code long"), "coded")
+    coded = vectors.filter(F.octet_length("terms") > 0).mapInArrow(
+        codes, "row long, doc_id long, n long, terms binary, counts binary, code long")
     placed = (coded.repartitionByRange(tasks, "code", "row")
               .sortWithinPartitions("code", "row"))
-    return materialize(placed.mapInArrow(
-        shards, ", ".join(f"{name} binary" for name, _ in Shard.FIELDS)), "shards")
+    schema = ", ".join(f"{name} binary" for name, _ in Shard.FIELDS)
+    path = scratch_path(vectors.sparkSession, "shards")
+    placed.mapInArrow(shards, schema).write.option("compression", "zstd").parquet(path)
+    return vectors.sparkSession.read.schema(schema).parquet(path)
 
 
 def search_index(index: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray]],
