@@ -41,6 +41,10 @@ from murmura.runtime import materialize, scratch_path
 
 ITEMS = 1_000
 """Items whose terms are indexed and searched together; more items take further passes."""
+ITEM_BYTES = 1 << 20
+"""Bytes of items of one pass, but for its last item."""
+CELLS = 1 << 24
+"""Documents times asked terms of a shard at most: long items make shards smaller."""
 SHARD, BLOCK = 4_096, 256
 """Documents of a shard, and of a block at most."""
 SHARDS_A_TASK = 8
@@ -153,7 +157,7 @@ class Shard:
 
     FIELDS = (("doc_ids", np.int64), ("rows", np.int64), ("ends", np.int64), ("terms", np.int32),
               ("values", np.int32), ("block_terms", np.int32), ("block_ends", np.int64),
-              ("block_docs", np.int32), ("summary_ends", np.int64), ("summary_places", np.uint16),
+              ("block_docs", np.int32), ("summary_ends", np.int64), ("summary_places", np.int32),
               ("summary_tops", np.uint16), ("shared_terms", np.int32), ("shared_tops", np.int32))
 
     @classmethod
@@ -164,8 +168,6 @@ class Shard:
         self.terms, self.values = terms, values.astype(np.int32)
         count = len(doc_ids)
         known, column = np.unique(terms, return_inverse=True)
-        if len(known) > 1 << 16:
-            raise ValueError("more than 65,536 asked terms in a shard; search fewer items at once")
         held = np.repeat(np.arange(count), np.diff(ends))
         df = np.bincount(column, minlength=len(known))
         tops = np.zeros(len(known), np.int32)
@@ -315,17 +317,18 @@ def build_index(vectors: DataFrame, df: np.ndarray, total: int, words: int) -> D
 
         for batch in batches:
             while batch.num_rows:
-                waiting.append(batch.slice(0, SHARD - held))
+                waiting.append(batch.slice(0, size - held))
                 held += waiting[-1].num_rows
                 batch = batch.slice(waiting[-1].num_rows)
-                if held == SHARD:
+                if held == size:
                     yield shard()
                     waiting, held = [], 0
         if held:
             yield shard()
 
+    size = max(16, min(SHARD, CELLS // max(len(df), 1)))
     tasks = max(vectors.sparkSession.sparkContext.defaultParallelism,
-                -(-total // (SHARD * SHARDS_A_TASK)))
+                -(-total // (size * SHARDS_A_TASK)))
     # The row settles ties, so that many equal vectors are dealt over several tasks.
     coded = vectors.filter(F.octet_length("terms") > 0).mapInArrow(
         codes, "row long, doc_id long, n long, terms binary, counts binary, code long")
@@ -364,16 +367,23 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     Defined results: a null or empty text has no terms and is found by, or finds, nothing; a null
     doc_id comes last among equal scores, rows with the same doc_id in the table's order; every
     row is an item or a document of its own, also repeated ones; an empty table gives no rows;
-    other columns are ignored. The items go round in blocks of ITEMS, whose terms alone the driver
-    and the tasks hold; a document's vector has at most that many coordinates, however long its
-    text.
+    other columns are ignored. The items go round in blocks of ITEMS and ITEM_BYTES, whose terms
+    alone the driver and the tasks hold; a document's vector has at most that many coordinates,
+    however long its text.
     """
     spark = docs.sparkSession
-    asked = materialize(with_global_order(
-        items.select("item_id", "text", F.monotonically_increasing_id().alias("_row")), ["_row"],
-        number="item", label="items"), "items")
-    rounds = [_rank_block(docs, asked.filter(F.col("item").between(at, at + ITEMS - 1)), k)
-              for at in range(0, asked.count(), ITEMS)]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    numbered = with_global_order(
+        items.select("item_id", "text", size.alias("_size"),
+                     F.monotonically_increasing_id().alias("_row")),
+        ["_row"], number="item", running={"_size": "_before"}, label="items")
+    asked = materialize(numbered.select(
+        "item_id", "text", "item", F.struct(F.floor(F.col("item") / ITEMS).alias("i"),
+                                            F.floor(F.col("_before") / ITEM_BYTES).alias("b"))
+        .alias("turn")), "items")
+    turns = [r.turn for r in asked.select("turn").distinct().collect()]
+    rounds = [_rank_block(docs, asked.filter((F.col("turn.i") == t.i) & (F.col("turn.b") == t.b)),
+                          k) for t in turns]
     schema = "item_id long, rank int, doc_id long, score long"
     return reduce(DataFrame.unionByName, rounds) if rounds else spark.createDataFrame([], schema)
 

@@ -50,6 +50,8 @@ def test_ranks_equal_plain_scoring(spark, monkeypatch):
     monkeypatch.setattr(R, "SHARD", 64)
     monkeypatch.setattr(R, "BLOCK", 8)
     monkeypatch.setattr(R, "ITEMS", 7)
+    monkeypatch.setattr(R, "ITEM_BYTES", 300)
+    monkeypatch.setattr(R, "CELLS", 2_000)
     rng = random.Random(2)
     docs = random_docs(rng, 400)
     docs += [(900, None), (901, ""), (902, "..;"), (None, docs[5][1]), (903, docs[5][1]), (903, docs[5][1]),
