@@ -190,7 +190,11 @@ shares AS (SELECT post_id, uid, ouid, text, toks, sentiment, postedDate FROM sco
 
 EDGES = SHARES + """,
 edges AS (SELECT uid AS src, ouid AS dst, CAST(count(*) AS DOUBLE) AS w
-          FROM shares WHERE list_contains(toks, '#click') GROUP BY ALL)"""
+          FROM shares GROUP BY ALL)"""
+
+CLICK_SHARES = SENTIMENT + """,
+shares AS (SELECT post_id, uid, ouid, text, toks, sentiment, postedDate FROM scored
+           WHERE verb = 'share' AND list_contains(toks, '#click'))"""
 
 KIND = "CASE WHEN starts_with(term, '#') THEN '#' WHEN starts_with(term, '@') THEN '@' ELSE 'S' END"
 
@@ -198,6 +202,10 @@ ENTITY_COUNTS = TOKS + f""",
 counts AS (SELECT postedDate, {KIND} AS kind, term, count(*) AS count
            FROM terms GROUP BY ALL)"""
 
-PLANTED = EDGES + """,
+GROUPS = """,
 labels AS (SELECT id, CAST(CAST(substr(id, 2) AS BIGINT) % 5 AS BIGINT) AS community
            FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges))"""
+
+PLANTED = EDGES + GROUPS
+
+CLICK_PLANTED = CLICK_SHARES + EDGES[len(SHARES):] + GROUPS

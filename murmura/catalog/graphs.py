@@ -21,7 +21,7 @@ TERM = "#click"
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = fx.unscored(spark, sf_dir).withColumn("sentiment", F.lit(0))
-    return graph.share_edges(enrich.filter_terms(enrich.share_slice(posts), TERM))
+    return graph.share_edges(enrich.share_slice(posts))
 
 
 def _kept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,13 +216,13 @@ def _members(shares: DataFrame) -> DataFrame:
 
 
 _TALK = fx.PLANTED + """,
-talk AS (SELECT shares.*, community FROM shares JOIN labels ON labels.id = uid
-         WHERE list_contains(toks, '#click'))"""
+talk AS (SELECT shares.*, community FROM shares JOIN labels ON labels.id = uid)"""
+_CLICK_TALK = _TALK.replace(fx.PLANTED, fx.CLICK_PLANTED)
 
 
 def _talk(spark: SparkSession, sf_dir: str, side: str = "uid") -> DataFrame:
-    clicks = materialize(enrich.filter_terms(fx.shares(spark, sf_dir), TERM), "clicks")
-    return graph.community_posts(clicks, _members(clicks), side)
+    shares = materialize(fx.shares(spark, sf_dir), "shares")
+    return graph.community_posts(shares, _members(shares), side)
 
 
 @query(f"WITH {_TALK} SELECT post_id, uid, ouid, community FROM talk")
@@ -231,8 +231,7 @@ def community_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {fx.PLANTED} SELECT DISTINCT post_id, community
-FROM shares JOIN labels ON labels.id = uid OR labels.id = ouid
-WHERE list_contains(toks, '#click')""")
+FROM shares JOIN labels ON labels.id = uid OR labels.id = ouid""")
 def community_posts_either(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of a community by sharer or by author."""
     return _talk(spark, sf_dir, "either").select("post_id", "community")
@@ -274,7 +273,7 @@ def distinct_share_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .groupBy("community").agg(F.count("*").alias("texts")))
 
 
-@query(f"""WITH {_TALK}, words AS (
+@query(f"""WITH {_CLICK_TALK}, words AS (
   SELECT community, word, count(*) AS count
   FROM (SELECT community, unnest(toks) AS word FROM talk)
   WHERE NOT starts_with(word, '@') GROUP BY ALL),
@@ -330,26 +329,64 @@ def loaded_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout(_edges(spark, sf_dir), 2, max_iter=8)
+    return layout(_edges(spark, sf_dir), 2)
+
+
+@query(f"""WITH {fx.PLANTED}
+SELECT count(*) AS nodes, count(*) AS finite, count(*) AS flat, true AS members_nearer
+FROM labels""")
+def layout_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node is placed once in the plane, and linked groups lie together."""
+    edges = _kept_edges(spark, sf_dir)
+    placed = layout(edges, 2)
+    finite = ~(F.isnan("x") | F.isnan("y")) & (F.abs("x") + F.abs("y") < 1e12)
+    group = placed.join(_planted(edges), "id")
+    ends = [group.select(F.col("id").alias(e), *[F.col(c).alias(f"{c}_{e}")
+                                                 for c in ("x", "y", "community")])
+            for e in ("src", "dst")]
+    gap = F.hypot(F.col("x_src") - F.col("x_dst"), F.col("y_src") - F.col("y_dst"))
+    same = F.col("community_src") == F.col("community_dst")
+    lines = (graph.drop_self_loops(edges).join(ends[0], "src").join(ends[1], "dst")
+             .agg(F.coalesce(F.avg(F.when(same, gap)) < F.avg(F.when(~same, gap)), F.lit(True))
+                  .alias("members_nearer")))
+    counts = placed.agg(F.count_distinct("id").alias("nodes"), F.count_if(finite).alias("finite"),
+                        F.count_if(F.col("z") == 0).alias("flat"))
+    return counts.withColumn("members_nearer", lines.scalar())
+
+
+@query(f"""WITH {fx.EDGES}
+SELECT true AS above_planted, CAST(0 AS BIGINT) AS parted,
+       (SELECT count(*) FROM ({_NODES})) AS nodes""")
+def communities_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fine communities: each hangs together, and their modularity beats the known groups'."""
+    edges = _kept_edges(spark, sf_dir)
+    labels = materialize(graph.communities(edges, resolution=2.0), "labels")
+    parts = graph.connected_parts(graph.undirected(edges), labels)
+    parted = (labels.select("id", F.col("community").alias("c")).join(parts, "id")
+              .groupBy("c").agg(F.count_distinct("community").alias("n")).filter("n > 1"))
+    mine, known = (graph.modularity(edges, x, 2.0) for x in (labels, _planted(edges)))
+    return labels.agg(F.count_distinct("id").alias("nodes")).select(
+        (mine.scalar() >= known.scalar()).alias("above_planted"),
+        parted.agg(F.count("*")).scalar().alias("parted"), "nodes")
 
 
 @query()
 def graph_layout_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout_fixed(_edges(spark, sf_dir), 3, rounds=4)
+    return layout_fixed(_edges(spark, sf_dir), 3)
 
 
 @query()
 def edge_file_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "edges")
     tables.write_edges(_edges(spark, sf_dir), path)
-    return layout_file(spark, path, max_iter=4)
+    return layout_file(spark, path)
 
 
 @query()
 def community_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the communities report as JSON lines."""
     shares = enrich.share_slice(fx.unscored(spark, sf_dir).withColumn("sentiment", F.lit(0)))
-    found = reports.communities(shares, TERM, layout_rounds=4)
+    found = reports.communities(shares, TERM)
     return reports.community_nodes_json(found.nodes)
 
 

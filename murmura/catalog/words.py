@@ -137,7 +137,7 @@ def topic_story(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The derived share text has no tags of its own, so they are put in front.
     tagged = shares.withColumn("body", F.concat(
         F.lit(" "), F.array_join(enrich.tx.tags_and_handles("toks"), " "), F.lit(" "), "body"))
-    story = reports.topic_story(tagged, _words(spark, sf_dir), "#click", 5, layout_rounds=3)
+    story = reports.topic_story(tagged, _words(spark, sf_dir), "#click")
     return story.words
 
 

@@ -65,52 +65,78 @@ def keep_nodes(edges: DataFrame, kept: DataFrame) -> DataFrame:
             .select(*edges.columns))
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """A side of a counted number of rows, broadcast while that number is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _counted(df: DataFrame, flag: str, label: str) -> tuple[DataFrame, int]:
+    """Write a round's table and count its flagged rows in the same job."""
+    seen = Observation()
+    kept = materialize(df.observe(seen, F.count_if(flag).alias("n")), label)
+    return kept, seen.get["n"]
+
+
 def k_core(edges: DataFrame, k: int = 2, mode: str = "directed") -> DataFrame:
     """Edges of the k-core: nodes below degree k go until none is left below.
 
     ``directed`` counts in and out edges, ``simple`` distinct neighbours.
-    Self-loops are removed first.
+    Self-loops are removed first. The loop's state is one row per node with what is left of its
+    degree. In each round only the nodes that have just gone send messages, to take their links
+    off their neighbours' degrees; edges are filtered once, at the end.
     """
-    left = materialize(drop_self_loops(edges), "kcore")
-    while True:
-        if mode == "directed":
-            degree = degrees(left)
-        else:
-            degree = simple_neighbours(left).groupBy("id").agg(F.count("*").alias("degree"))
-        weak = materialize(degree.filter(F.col("degree") < k).select("id"), "weak")
-        if weak.isEmpty():
-            return left
-        left = materialize(
-            left.join(weak.select(F.col("id").alias("src")), "src", "left_anti")
-            .join(weak.select(F.col("id").alias("dst")), "dst", "left_anti")
-            .select(*edges.columns), "kcore")
+    if mode == "directed":
+        both = F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("nb")),
+                                 F.struct(F.col("dst").alias("id"), F.col("src").alias("nb"))))
+        pairs = (drop_self_loops(edges).select(both.alias("e")).groupBy("e.id", "e.nb")
+                 .agg(F.count("*").alias("n")))
+    else:
+        pairs = simple_neighbours(edges).withColumn("n", F.lit(1).cast("long"))
+    pairs = materialize(pairs, "pairs")
+    state, going = _counted(pairs.groupBy("id").agg(F.sum("n").alias("degree")).withColumn(
+        "gone", F.col("degree") < k), "gone", "kcore")
+    while going:
+        lost = (pairs.join(_few(state.filter("gone").select(F.col("id").alias("nb")), going), "nb")
+                .groupBy("id").agg(F.sum("n").alias("lost")))
+        # Nodes that went before have no row any more; a node's last row says gone once.
+        left = state.filter(~F.col("gone")).join(lost, "id", "left").select(
+            "id", (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree"))
+        state, going = _counted(left.withColumn("gone", F.col("degree") < k), "gone", "kcore")
+    return materialize(keep_nodes(drop_self_loops(edges), state), "kcore")
 
 
 def core_numbers(edges: DataFrame) -> DataFrame:
     """Core number of every node with a neighbour, by repeated H-index.
 
     Estimates start at the degree. A node's next estimate is the largest i with at
-    least i neighbours of estimate >= i. Neighbours are first counted per value, and
+    least i neighbours of estimate >= i. Only nodes with a neighbour whose estimate has just
+    fallen are looked at again. Neighbours are first counted per value, and
     there are at most about sqrt(2 * edges) different values, so a hub with a third
     of all edges is a short histogram by the time it is ranked.
     """
     pairs = materialize(simple_neighbours(edges), "pairs")
-    core = materialize(pairs.groupBy("id").agg(F.count("*").alias("core")), "core")
-    hot = hot_keys(pairs, "nb")
+    core = materialize(pairs.groupBy("id").agg(
+        F.count("*").alias("core"), F.lit(True).alias("fell")), "core")
+    fallen = size = core.count()
+    hot = [] if size <= BROADCAST_ROWS else hot_keys(pairs, "nb")
     falling = Window.partitionBy("id").orderBy(F.col("value").desc())
-    while True:
+    again = pairs
+    while fallen:
         known = core.select(F.col("id").alias("nb"), F.col("core").alias("value"))
-        histogram = (join_unique(pairs, known, "nb", hot=hot)
-                     .groupBy("id", "value").agg(F.count("*").alias("n")))
+        met = (again.join(F.broadcast(known), "nb") if size <= BROADCAST_ROWS
+               else join_unique(again, known, "nb", hot=hot))
+        histogram = met.groupBy("id", "value").agg(F.count("*").alias("n"))
         bound = (histogram.withColumn("above", F.sum("n").over(falling))
                  .groupBy("id").agg(F.max(F.least("value", "above")).alias("bound")))
-        seen = Observation()
-        step = (core.join(bound, "id")
-                .select("id", F.least("core", "bound").alias("next"), "core")
-                .observe(seen, F.count_if(F.col("next") < F.col("core")).alias("changed")))
-        core = materialize(step.select("id", F.col("next").alias("core")), "core")
-        if not seen.get["changed"]:
-            return core
+        core, fallen = _counted(
+            core.join(_few(bound, size), "id", "left").select(
+                "id", F.least("core", "bound").alias("core"),
+                F.coalesce(F.col("bound") < F.col("core"), F.lit(False)).alias("fell")),
+            "fell", "core")
+        near = pairs.join(_few(core.filter("fell").select(F.col("id").alias("nb")), fallen), "nb",
+                          "left_semi").select("id").distinct()
+        again = pairs.join(_few(near, size), "id", "left_semi")
+    return core.select("id", "core")
 
 
 def above_core(edges: DataFrame, core: DataFrame, floor: int = 1) -> DataFrame:
@@ -158,37 +184,71 @@ def _modularity(links: DataFrame, labels: DataFrame, resolution: float) -> DataF
                    .alias("modularity"))
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, max_rounds: int = 30,
-                settled: float = 0.01, tolerance: float = 1e-6, max_levels: int = 12) -> DataFrame:
+CHECKED = 8
+"""Rounds of moves after which modularity must have grown."""
+
+
+def communities(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-6) -> DataFrame:
     """Communities of high modularity: ``id, community``, by parallel Louvain.
 
     In each round a pseudo-random half of the nodes may move to the neighbouring
     community with the largest gain; the other half stays, which keeps two nodes
-    from swapping for ever. When less than the share ``settled`` of the nodes wants to
-    move, communities become nodes and the next level begins, until modularity no
-    longer grows. A larger ``resolution`` gives
+    from swapping for ever. Only nodes whose neighbours have just moved, or that wait for their
+    turn, are looked at; when none is left all are looked at once more. When no node wants to
+    move, or moves no longer raise modularity, communities become nodes and the next level begins,
+    until modularity no longer grows. Communities in several parts are split into these, which
+    only raises modularity. A larger ``resolution`` gives
     smaller communities. Community 0 is the largest; ties go to the smaller id.
     """
     links = materialize(undirected(edges), "links")
     original = links
-    mapping = None
-    best = None
-    best_q = float("-inf")
-    for level in range(max_levels):
-        labels = _move_nodes(links, resolution, level, max_rounds, settled)
-        if mapping is None:
-            mapping = labels
-        else:
-            mapping = materialize(
-                mapping.select("id", F.col("community").alias("_at"))
-                .join(labels.select(F.col("id").alias("_at"), "community"), "_at")
-                .select("id", "community"), "mapping")
+    mapping = best = None
+    best_q, level = float("-inf"), 0
+    while True:
+        labels = _move_nodes(links, resolution, level, tolerance)
+        mapping = labels if mapping is None else materialize(
+            mapping.select("id", F.col("community").alias("_at"))
+            .join(labels.select(F.col("id").alias("_at"), "community"), "_at")
+            .select("id", "community"), "mapping")
         quality = _modularity(original, mapping, resolution).first()["modularity"]
         if quality is None or quality <= best_q + tolerance:
             break
-        best, best_q = mapping, quality
+        best, best_q, level = mapping, quality, level + 1
         links = _contract(links, labels)
-    return name_by_size(best if best is not None else mapping)
+    return name_by_size(connected_parts(original, best if best is not None else mapping))
+
+
+def connected_parts(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``id, community`` with each community cut into its connected parts.
+
+    Every node takes the smallest id among its part's nodes, by repeatedly looking at its
+    neighbours and then at what the node it points to points to.
+    """
+    of_a = labels.select(F.col("id").alias("a"), F.col("community").alias("ca"))
+    of_b = labels.select(F.col("id").alias("b"), F.col("community").alias("cb"))
+    inside = (join_unique(join_unique(links, of_a, "a"), of_b, "b")
+              .filter((F.col("ca") == F.col("cb")) & (F.col("a") != F.col("b"))))
+    turned = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("nb")),
+                               F.struct(F.col("b").alias("id"), F.col("a").alias("nb"))))
+    around = materialize(inside.select(turned.alias("e")).select("e.id", "e.nb"), "inside")
+    state = materialize(labels.select("id", F.col("id").alias("part"),
+                                      F.lit(True).alias("changed")), "parts")
+    changed, size = 1, state.count()
+    hot = [] if size <= BROADCAST_ROWS else hot_keys(around, "nb")
+    while changed:
+        at = state.select(F.col("id").alias("nb"), "part")
+        met = (around.join(F.broadcast(at), "nb") if size <= BROADCAST_ROWS
+               else join_unique(around, at, "nb", hot=hot))
+        least = met.groupBy("id").agg(F.min("part").alias("near"))
+        nearer = state.join(least, "id", "left").select(
+            "id", "part", F.least("part", "near").alias("next"))
+        jump = _few(state.select(F.col("id").alias("next"), F.col("part").alias("far")), size)
+        state, changed = _counted(
+            nearer.join(jump, "next").select(
+                "id", F.least("next", "far").alias("part"),
+                (F.least("next", "far") < F.col("part")).alias("changed")),
+            "changed", "parts")
+    return state.select("id", F.col("part").alias("community"))
 
 
 def _contract(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -200,36 +260,59 @@ def _contract(links: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.sum("w").alias("w")), "links")
 
 
-def _move_nodes(links: DataFrame, resolution: float, level: int, max_rounds: int,
-                settled: float) -> DataFrame:
-    state = materialize(node_weights(links).withColumn("community", F.col("id")), "state")
+def _move_nodes(links: DataFrame, resolution: float, level: int, tolerance: float) -> DataFrame:
+    state = materialize(node_weights(links).select(
+        "id", "k", F.col("id").alias("community"), F.lit(False).alias("moved"),
+        F.lit(True).alias("waits"), F.xxhash64("id", F.lit(level)).alias("dice")), "state")
     node_count, m2 = state.agg(F.count("*"), F.sum("k")).first()
     turned = F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("nb")),
                                F.struct(F.col("b").alias("id"), F.col("a").alias("nb"))))
     around = (links.filter(F.col("a") != F.col("b"))
               .select(turned.alias("e"), "w").select("e.id", "e.nb", "w"))
     # Both columns hold the same ids equally often, so one list serves either join.
-    hot = hot_keys(around, "id")
+    hot = [] if node_count <= BROADCAST_ROWS else hot_keys(around, "id")
     around = materialize(join_unique(around, state.select("id", "k"), "id", hot=hot), "around")
-    for turn in range(max_rounds):
-        state, wanting = _one_round(around, state, m2, resolution, level, turn, hot,
-                                    node_count <= BROADCAST_ROWS)
-        if wanting <= settled * node_count:
+    best, best_q = state, float("-inf")
+    everyone, turn, wanting = True, 0, node_count
+    while node_count:
+        # While many want to move, half of them wait; later neighbours seldom move at once.
+        state, wanting, moved = _one_round(around, state, m2, resolution, hot, node_count,
+                                           everyone, 4 if 2 * wanting > node_count else 7)
+        turn += 1
+        if turn % CHECKED == 0:
+            quality = _modularity(links, state.select("id", "community"),
+                                  resolution).first()["modularity"]
+            if quality <= best_q + tolerance:
+                return best.select("id", "community")
+            best, best_q = state, quality
+        if not wanting and everyone:
             break
+        everyone = not wanting and not moved
+    if best_q > float("-inf"):
+        quality = _modularity(links, state.select("id", "community"),
+                              resolution).first()["modularity"]
+        state = state if quality >= best_q else best
     return state.select("id", "community")
 
 
-def _one_round(around: DataFrame, state: DataFrame, m2: float, resolution: float, level: int,
-               turn: int, hot: list, few: bool) -> tuple[DataFrame, int]:
+def _one_round(around: DataFrame, state: DataFrame, m2: float, resolution: float, hot: list,
+               size: int, everyone: bool, eighths: int) -> tuple[DataFrame, int, int]:
+    # The dice are a column and not a literal, so every round runs the code compiled for the first.
     totals = state.groupBy("community").agg(F.sum("k").alias("total"))
-    if few:  # one row per node, and the nodes were counted
-        placed = state.join(F.broadcast(totals), "community")
-        at = F.broadcast(placed.select(F.col("id").alias("nb"), "community", "total"))
-        seen_from = around.join(at, "nb")
-    else:
-        placed = join_unique(state, totals, "community")
-        at = placed.select(F.col("id").alias("nb"), "community", "total")
-        seen_from = join_unique(around, at, "nb", hot=hot)
+    few = size <= BROADCAST_ROWS  # one row per node, and the nodes were counted
+    placed = (state.join(F.broadcast(totals), "community") if few
+              else join_unique(state, totals, "community"))
+    at = placed.select(F.col("id").alias("nb"), "community", "total")
+    looked, mine = around, placed
+    if not everyone:
+        stirred = _few(state.filter("moved").select(F.col("id").alias("nb")), size)
+        active = (around.join(stirred, "nb", "left_semi").select("id")
+                  .union(state.filter(F.col("moved") | F.col("waits")).select("id")).distinct())
+        active = _few(active, size)
+        looked = around.join(active, "id", "left_semi")
+        mine = placed.join(active, "id", "left_semi")
+    seen_from = (looked.join(F.broadcast(at), "nb") if few
+                 else join_unique(looked, at, "nb", hot=hot))
     towards = (seen_from
                .groupBy("id", "community")
                .agg(F.sum("w").alias("inward"), F.max("k").alias("k"),
@@ -240,20 +323,22 @@ def _one_round(around: DataFrame, state: DataFrame, m2: float, resolution: float
             .agg(F.max("gain").alias("gain"),
                  F.min_by("community", F.struct(-F.col("gain"), "community")).alias("choice")))
     # Staying is a choice too; the pair (id, community) is unique on both sides.
+    own = (mine.join(towards.select("id", "community", "inward"), ["id", "community"], "left")
+           .join(_few(best, size), "id", "left"))
     stay = F.round(F.coalesce("inward", F.lit(0.0))
                    - resolution * F.col("k") * (F.col("total") - F.col("k")) / m2, 9)
-    own = (placed.join(towards.select("id", "community", "inward"), ["id", "community"], "left")
-           .select("id", "k", F.col("community").alias("mine"), stay.alias("stay")))
-    wants = (F.col("choice") != F.col("mine")) & (F.col("gain") > F.col("stay"))
-    may_move = F.pmod(F.xxhash64("id", F.lit(turn), F.lit(level)), F.lit(2)) == 0
+    wants = (F.col("choice") != F.col("community")) & (F.col("gain") > stay)
+    may_move = F.pmod("dice", F.lit(8)) < eighths
+    decided = own.select("id", "choice", F.coalesce(wants, F.lit(False)).alias("wants"))
+    go = F.coalesce(F.col("wants") & may_move, F.lit(False))
     seen = Observation()
-    decided = (own.join(F.broadcast(best) if few else best, "id", "left")
-               .select("id", "k", "mine", "choice",
-                       F.coalesce(wants, F.lit(False)).alias("wants"))
-               .observe(seen, F.count_if("wants").alias("wanting")))
-    after = decided.select("id", "k", F.when(F.col("wants") & may_move, F.col("choice"))
-                           .otherwise(F.col("mine")).alias("community"))
-    return materialize(after, "state"), seen.get["wanting"]
+    after = (state.select("id", "k", "community", "dice").join(_few(decided, size), "id", "left").select(
+        "id", "k", F.when(go, F.col("choice")).otherwise(F.col("community")).alias("community"),
+        go.alias("moved"), F.coalesce(F.col("wants") & ~may_move, F.lit(False)).alias("waits"),
+        F.xxhash64("dice", "id").alias("dice"))
+        .observe(seen, F.count_if("waits").alias("waiting"), F.count_if("moved").alias("moved")))
+    kept = materialize(after, "state")
+    return kept, seen.get["waiting"] + seen.get["moved"], seen.get["moved"]
 
 
 def community_sizes(labels: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from murmura.operators import graph, skew
-from murmura.operators.layout import layout
+from murmura.operators import layout as layout_module
+from murmura.operators.layout import Cells, layout
 
 
 def edges(spark, pairs):
@@ -147,3 +149,51 @@ def test_layout_is_finite_deterministic_and_groups_neighbours(spark):
 
     assert gap("a2", "a3") < gap("a2", "b3")
     assert any(r.z != 0 for r in layout(e, 3, 2).collect())
+
+
+def test_communities_are_cut_into_connected_parts(spark):
+    links = graph.undirected(edges(spark, CLIQUES + TAIL))
+    one = graph.nodes(edges(spark, CLIQUES + TAIL)).withColumn("community", F.lit(0))
+    parts = {}
+    for r in graph.connected_parts(links, one).collect():
+        parts.setdefault(r.community, set()).add(r.id)
+    assert parts == {"a": set("abcd"), "a1": {f"{c}{i}" for c in "ab" for i in range(1, 5)}}
+
+
+def test_path_peels_to_nothing_and_has_core_one(spark):
+    path = edges(spark, [(f"n{i:02}", f"n{i + 1:02}") for i in range(9)])
+    assert graph.k_core(path, 2).count() == 0
+    assert {r.core for r in graph.core_numbers(path).collect()} == {1}
+
+
+@pytest.mark.parametrize("dims, levels, error", [(2, 4, 0.2), (3, 3, 0.1)])
+def test_cell_hierarchy_is_close_to_all_pairs(dims, levels, error):
+    rng = np.random.default_rng(4)
+    at = np.zeros((1500, 3))
+    at[:, :dims] = rng.normal(0, 40, (1500, dims))
+    mass = rng.uniform(1, 4, 1500)
+    low, side = at.min(axis=0), 2 ** levels
+    width = (at.max(axis=0) - low).max() * (1 + 1e-9) / side
+    cell = np.clip(np.floor((at[:, :dims] - low[:dims]) / width), 0, side - 1).astype(int)
+    number = (cell * side ** np.arange(dims)).sum(axis=1)
+    rows = [(n, mass[number == n].sum(), *(mass[number == n, None] * at[number == n]).sum(axis=0))
+            for n in np.unique(number)]
+    cells = Cells(dims, levels, low, width, rows)
+    for level in range(2, levels + 1):
+        assert cells.sums[level][:, 0].sum() == pytest.approx(mass.sum())
+    found = cells.repulsion(at, at, mass)
+    away = at[:, None] - at[None]
+    square = (away ** 2).sum(axis=-1)
+    np.fill_diagonal(square, np.inf)
+    exact = (mass[None, :, None] * away / square[..., None]).sum(axis=1)
+    wrong = np.linalg.norm(found - exact, axis=1) / np.linalg.norm(exact, axis=1)
+    assert np.median(wrong) < error
+
+
+def test_layout_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(layout_module, "BLOCK", 3)
+    placed = {r.id: (r.x, r.y) for r in layout(edges(spark, CLIQUES), 2, 60, early_stop=False).collect()}
+    assert len(placed) == 8
+    gap = lambda a, b: np.hypot(*np.subtract(placed[a], placed[b]))
+    inside = np.mean([gap(*p) for p in combinations(["a1", "a2", "a3", "a4"], 2)])
+    assert inside < np.mean([gap(f"a{i}", f"b{j}") for i in range(1, 5) for j in range(1, 5)])
