@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.llm.common import (
-    input_bytes, map_array, save_array, shared_folder_for, table,
+    input_bytes, map_array, save_array, shared_folder_for, slices, table,
 )
 from murmura.llm.components import components
 from murmura.runtime import materialize
@@ -54,6 +54,8 @@ from murmura.runtime import materialize
 WORDS = 5
 PERCENT = 75
 BUCKET_BYTES = 24 << 20
+TEXTS = 4 << 20
+"""Bytes of text whose shingles are looked up together."""
 """Bytes of text per bucket of shingle counts and of inverted lists."""
 FLUSH = 4_000_000
 CHUNK = 1_024
@@ -137,11 +139,14 @@ SCAN = "doc_id long, n_shingles long, sig binary, bucket int, data binary"
 
 
 def scanner(bits: int, size: int):
-    """Arrow batches of (doc_id, text) to a row per document and blocks of shingle keys."""
+    """Arrow batches of (doc_id, text) to a row per document and blocks of shingle keys.
+
+    A key is the bucket's ``bits`` and the 32 bits after them, so keys grow with the buckets.
+    """
     def blocks(keys: list[np.ndarray]) -> pa.RecordBatch:
         values = np.sort(np.concatenate(keys))
-        cut = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
-        parts = [(i, p) for i, p in enumerate(np.split(values, cut)) if len(p)]
+        cut = np.searchsorted(values, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(32))
+        parts = [(i, p.astype(np.uint32)) for i, p in enumerate(np.split(values, cut)) if len(p)]
         none = [None] * len(parts)
         return pa.record_batch(
             [pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()),
@@ -157,7 +162,7 @@ def scanner(bits: int, size: int):
                 found = shingle_set(text, size)
                 sizes.append(len(found))
                 signatures.append(xxhash.xxh3_128_digest(found.tobytes()))
-                keys.append((found >> np.uint64(32)).astype(np.uint32))
+                keys.append(found >> np.uint64(32 - bits))
                 held += len(found)
                 if held >= FLUSH:
                     yield blocks(keys)
@@ -197,9 +202,10 @@ class Counts:
 
     def of(self, shingles: np.ndarray) -> np.ndarray:
         """For sorted shingles, whose buckets therefore follow each other."""
-        keys = (shingles >> np.uint64(32)).astype(np.uint32)
+        keys = shingles >> np.uint64(32 - self.bits)
         cuts = np.searchsorted(keys, np.arange((1 << self.bits) + 1, dtype=np.uint64)
-                               << np.uint64(32 - self.bits))
+                               << np.uint64(32))
+        keys = keys.astype(np.uint32)
         out = np.ones(len(keys), np.int64)
         for i in np.flatnonzero(np.diff(cuts)):
             own, counts = self.parts[i]
@@ -212,6 +218,17 @@ class Counts:
         return out
 
 
+    def of_all(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+        """For the sets of many texts; every bucket is looked into once."""
+        if not sets:
+            return []
+        every = np.concatenate(sets)
+        order = np.argsort(every)
+        out = np.empty(len(every), np.int64)
+        out[order] = self.of(every[order])
+        return np.split(out, np.cumsum([len(s) for s in sets])[:-1])
+
+
 @lru_cache(maxsize=2)
 def counts_of(folder: str, bits: int) -> Counts:
     return Counts(folder, bits)
@@ -263,15 +280,13 @@ def set_writer(folder: str, bits: int, rep_buckets: int, size: int, percent: int
             return batch_of([], [(i, *(v[p].tobytes() for v in columns))
                                  for i, p in parts])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if doc_id is None or not in_sorted(reps[doc_id % rep_buckets], np.array([doc_id]))[0]:
-                    continue
-                found = shingle_set(text.as_py(), size)
+        for batch in slices(batches, 1, TEXTS):
+            wanted = [text.as_py() for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1))
+                      if doc_id is not None
+                      and in_sorted(reps[doc_id % rep_buckets], np.array([doc_id]))[0]]
+            founds = [f for f in (shingle_set(text, size) for text in wanted) if len(f)]
+            for found, df in zip(founds, counts.of_all(founds)):
                 n = len(found)
-                if not n:
-                    continue
-                df = counts.of(found)
                 need = at_least(n, percent)
                 if int((df > 1).sum()) < need:
                     continue

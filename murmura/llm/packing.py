@@ -5,7 +5,8 @@ piece is dealt into a group by a seeded hash of its place in the input, which a
 computes alike, so groups are random and equally large whatever the ids are: repeated doc_ids or
 very long documents do not crowd one group. Each group packs its pieces on its own: pieces in
 descending length, each into the first sequence with room, found by descending a tournament tree
-of the free room. Groups hold about ``group_docs`` documents, so a task's memory is bounded and
+of the free room. Groups hold about ``group_docs`` documents, or GROUP_BYTES of text if these are
+longer, so a task's memory is bounded and
 padding is small: only about one sequence per group stays ill-filled.
 
 Sequences are padded to ``capacity``, except where their length is a power of two: those stay
@@ -33,6 +34,8 @@ from murmura.llm.encoding import pieces, word_tokenizer_path
 
 CAPACITY = 4096
 GROUP_DOCS = 4_000
+GROUP_BYTES = 16 << 20
+"""Bytes of text of a group at most, on average."""
 END_ID = 2
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_group long"
 IDS = ", ids array<int>"
@@ -119,9 +122,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with ``with_ids``
     the piece's ids. ``group_docs`` sets how many documents a group holds on average; the
-    number of groups follows the row count.
+    number of groups follows the row count, and the bytes of text where texts are long.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    count, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-count // group_docs), -(-(size or 0) // GROUP_BYTES))
     cut = docs.select("doc_id", "text").mapInArrow(
         cutter(tokenizer or word_tokenizer_path(), end_id, capacity, groups, seed, with_ids),
         PIECE + IDS * with_ids)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from murmura.llm.common import ROWS_OUT, flat, table
+from murmura.llm.common import flat, slices, table
 
 LABELLED = 6_000
 POOL = 6_000
@@ -42,7 +42,9 @@ MISSED = 0.005
 TEXT_BITS = 14
 SHAPE_BITS = 12
 META_BITS = 10
-KEEP_WORDS = 400_000
+KEEP_WORDS = 150_000
+TEXTS = 2 << 20
+"""Bytes of text that a task holds as Python words at a time."""
 PIECE = 64
 RESULTS = {"text_score": T.DoubleType(), "meta_score": T.DoubleType(),
            "quality": T.DoubleType(), "kept": T.BooleanType()}
@@ -61,12 +63,16 @@ def pieces(text: str) -> list[str]:
     return [w[at:at + PIECE] for w in text.split() for at in range(0, len(w), PIECE)]
 
 
+def feature_numbers(word: str) -> tuple[int, int]:
+    return (xxhash.xxh32_intdigest(shape(word)) >> (32 - SHAPE_BITS),
+            (1 << SHAPE_BITS) + (xxhash.xxh32_intdigest(word.lower()) >> (32 - TEXT_BITS)))
+
+
 class Features(dict):
     """Word -> its two feature numbers: shape first, then the lower-cased word."""
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        value = (xxhash.xxh32_intdigest(shape(word)) >> (32 - SHAPE_BITS),
-                 (1 << SHAPE_BITS) + (xxhash.xxh32_intdigest(word.lower()) >> (32 - TEXT_BITS)))
+        value = feature_numbers(word)
         if len(word) <= 64:
             if len(self) >= KEEP_WORDS:
                 self.clear()
@@ -90,7 +96,7 @@ def metadata(lang, source, n_chars, text) -> list[int]:
 def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct text features with their shares, and metadata features, of sampled documents."""
     known = Features()
-    for batch in batches:
+    for batch in slices(batches, 2, TEXTS):
         rows = batch.to_pylist()
         texts, shares, metas = [], [], []
         for r in rows:
@@ -215,15 +221,14 @@ class Weights(dict):
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
-        self.weights, self.features = weights, Features()
+        self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        a, b = self.features.__missing__(word) if len(word) > 64 else self.features[word]
+        a, b = feature_numbers(word)
         value = float(self.weights[a] + self.weights[b])
         if len(word) <= 64:
             if len(self) >= KEEP_WORDS:
                 self.clear()
-                self.features.clear()
             self[word] = value
         return value
 
@@ -236,22 +241,20 @@ def classify(docs: DataFrame, model: Classifier) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = Weights(model.text_weights)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_OUT):
-                batch = whole.slice(at, ROWS_OUT)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                words = [pieces(t) for t in texts]
-                text = np.array([sum(map(weights.__getitem__, w)) / max(1, len(w)) for w in words])
-                meta = np.array([model.meta_weights[metadata(*facts)].sum() for facts in zip(*(
-                    batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), texts)])
-                if model.combination is None:
-                    quality, kept = pa.nulls(len(texts), pa.float64()), np.ones(len(texts), bool)
-                else:
-                    c = model.combination
-                    p = probability(c[0] + c[1] * text + c[2] * meta)
-                    quality, kept = pa.array(p), p >= model.cutoff
-                yield pa.record_batch([*batch.columns, pa.array(text), pa.array(meta), quality,
-                                       pa.array(kept)], names)
+        for batch in slices(batches, names.index("text"), TEXTS):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            text = np.array([sum(map(weights.__getitem__, w)) / max(1, len(w))
+                             for w in map(pieces, texts)])
+            meta = np.array([model.meta_weights[metadata(*facts)].sum() for facts in zip(*(
+                batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), texts)])
+            if model.combination is None:
+                quality, kept = pa.nulls(len(texts), pa.float64()), np.ones(len(texts), bool)
+            else:
+                c = model.combination
+                p = probability(c[0] + c[1] * text + c[2] * meta)
+                quality, kept = pa.array(p), p >= model.cutoff
+            yield pa.record_batch([*batch.columns, pa.array(text), pa.array(meta), quality,
+                                   pa.array(kept)], names)
 
     return docs.select(*[f.name for f in carried]).mapInArrow(run, schema)
 

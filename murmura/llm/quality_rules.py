@@ -5,13 +5,13 @@ rejects documents whose feature exceeds a cutoff. Cutoffs are learned from label
 
 * Strata are the languages (null is a stratum of its own).
 * For a stratum and rule the cutoffs of a fixed grid are tested from lenient to strict. A cutoff
-  passes if the exact binomial tail P(Bin(n, alpha) <= k) is at most delta / (strata x rules),
+  passes if the exact binomial tail P(Bin(n, alpha / rules) <= k) is at most delta / (strata x rules),
   where n counts the stratum's good labelled documents and k those that the cutoff would reject.
   That is the one-sided Clopper-Pearson bound: with that confidence the cutoff rejects at most
   a share alpha of good documents.
 * Testing stops at the first cutoff that fails (a fixed sequence), so the grid costs nothing
   extra, and the division by strata x rules (Bonferroni) holds all choices together: with
-  probability 1 - delta no stratum and rule exceeds its alpha.
+  probability 1 - delta all rules of a stratum together reject at most alpha of its good documents.
 * A rule without a passing cutoff, as in a stratum with few labels, rejects nothing.
 
 Defined results: null text has no words; an empty text or one below ``min_words`` fails the
@@ -163,7 +163,9 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
         e["key"] > F.col("i"), e["value"]).otherwise(F.lit(0)))
     tests = tests.withColumn("k", k).withColumn("limit", F.log(
         F.lit(delta) / (F.col("strata") * len(rules))))
-    tail = F.when(F.col("k") < F.col("n") * alpha, log_binomial_cdf(F.col("k"), F.col("n"), alpha))
+    # Each rule gets an equal part of alpha, so that all rules of a stratum together keep it.
+    share = alpha / len(rules)
+    tail = F.when(F.col("k") < F.col("n") * share, log_binomial_cdf(F.col("k"), F.col("n"), share))
     tests = tests.withColumn("passed", F.coalesce(tail <= F.col("limit"), F.lit(False)))
     # A fixed sequence: the cutoffs before the first that fails.
     return (tests.groupBy("stratum", "rule").agg(

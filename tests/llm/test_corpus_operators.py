@@ -178,3 +178,10 @@ def test_classifier_reads_long_words_to_their_end(spark):
     got = quality_classifier.classify(docs, quality_classifier.fit(docs, labels)).collect()
     text = {r.doc_id: r.text_score for r in got}
     assert min(text[i] for i in range(400) if i % 4) > max(text[i] for i in range(0, 400, 4))
+
+
+def test_labels_that_differ_in_marks_alone_do_not_link(spark):
+    rows = [(1, [1.0, 0.5], "a-b"), (2, [1.0, 0.5], "a_b"), (3, [1.0, 0.5], "a-b"), (4, [1.0, 0.5], "x" * 300)]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_vectors(
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert found == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}

@@ -130,15 +130,25 @@ def test_base_features_equal_plain_python(docs, none):
 
 def test_cutoffs_keep_the_binomial_bound(spark):
     rows = spark.createDataFrame(
-        [("en", 1, 0.001 if i % 500 else 0.3, 0.0, 0.0, 0.0, 5.0) for i in range(3000)],
+        [("en", 1, 0.001 if i % 3000 else 0.3, 0.0, 0.0, 0.0, 5.0) for i in range(6000)],
         "lang string, quality int, symbol_rate double, dup_line_rate double, upper_rate double, "
         "mark_rate double, long_word_mean double")
     found = {r.rule: r.cutoff for r in quality_rules.choose_cutoffs(rows).collect()}
-    assert found["symbol_rate"] == 0.01  # 6 of 3000 rejected: below 1 % beyond doubt
+    assert found["symbol_rate"] == 0.01  # 2 of 6000 rejected: below a fifth of 1 % beyond doubt
     few = quality_rules.choose_cutoffs(rows.limit(50))
     assert few.count() == 0  # 50 labels can't bear out 1 %
 
 
+def test_all_rules_of_a_stratum_keep_the_bound_together(spark):
+    """Each rule rejects another 1/120 of the good rows: fine alone, too much together."""
+    names = list(quality_rules.RULES)
+    rows = [("en", 1, *[100.0 if i % 120 == j else 0.0 for j in range(len(names))]) for i in range(20_000)]
+    good = spark.createDataFrame(rows, "lang string, quality int, " + ", ".join(f"{n} double" for n in names))
+    cutoffs = quality_rules.choose_cutoffs(good)
+    judged = quality_rules.apply_rules(good.withColumn("base_failed", F.lit(False)), cutoffs, names)
+    assert judged.filter("not kept").count() <= 0.01 * len(rows)
+
+
 def test_binomial_tail_is_exact(spark):
     from math import comb, log
     for n, k in ((50, 0), (200, 3), (500, 4)):
