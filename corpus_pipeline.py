@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from murmura.llm import quality_classifier as classifier
 from murmura.llm import quality_rules as rules
@@ -28,11 +27,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.judge(docs, labels, carry=COLUMNS).filter("kept").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Documents of a written table with ``row``, a number that stays the same at every reading.
+
+    It is made of the place of the row's file in the order of names, one row per file, and of the
+    row's place there.
+    """
+    named = docs.select("*", "_metadata.file_path", "_metadata.row_index")
+    files = named.select("file_path").distinct().withColumn(
+        "file", F.row_number().over(Window.orderBy("file_path")).cast("long"))
+    return named.join(F.broadcast(files), "file_path").select(
+        *COLUMNS, (F.shiftleft("file", 40) + F.col("row_index")).alias("row"))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies, and all others."""
-    found = link_components(docs)
-    copies = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti")
+    """One document of each group of near copies, the one with the smallest doc_id, and all others.
+
+    Rows are told apart by their place, so of rows that repeat a doc_id and a text one stays, equal
+    doc_ids with unlike texts are two documents, and a null doc_id comes after all others.
+    """
+    rows = numbered(docs)
+    found = link_components(rows.select(F.col("row").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("row"), "component_id")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = (rows.select("row", "doc_id").join(found, "row").groupBy("component_id")
+            .agg(F.min(first).alias("first")).select("first.row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +72,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each stage's rows are written and read again by the next."""
-    return reduce(lambda docs, stage: stage[1](spark, materialize(docs, "stage"), sf_dir),
-                  STAGES, table(spark, sf_dir, "documents").select(*COLUMNS))
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)
