@@ -12,7 +12,7 @@ from murmura.catalog.registry import query
 from murmura.functions import text as tx
 from murmura.operators import counters, enrich, ranking
 from murmura.plans.reports import top_terms_json
-from murmura.runtime import scratch_path
+from murmura.runtime import materialize, scratch_path
 from murmura.schema import DATE, TOKENS
 from murmura.sources import counter_store as store
 
@@ -204,6 +204,24 @@ def expired_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alive.drop("updated_at")
 
 
+@query(f"""WITH {fx.ENTITY_COUNTS}
+SELECT postedDate, kind, term, count, CAST(1 AS BIGINT) AS folders FROM counts
+WHERE postedDate >= '{DAY}'""")
+def expired_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts in ten batches; old days are removed with the folders, a repeated batch adds nothing."""
+    path = scratch_path(spark, "counts")
+    counts = materialize(_counts(spark, sf_dir), "counts")
+    for batch in range(10):
+        own = counts.filter(F.pmod(F.xxhash64("term"), F.lit(10)) == batch)
+        for part, late in ((own.filter(F.col(DATE) < DAY), 0), (own.filter(F.col(DATE) >= DAY), 1)):
+            store.merge_counts(path, part, 2 * batch + late, datetime(2024, 1, 15 + 16 * late))
+    store.expire_store(spark, path, datetime(2024, 2, 1))
+    store.merge_counts(path, counts.filter(F.col(DATE) >= DAY), 3, datetime(2024, 1, 31))
+    dates = store.read_counts(spark, path).drop("updated_at")
+    folders = spark.read.parquet(f"{path}/folded").select("folded_to").distinct()
+    return dates.withColumn("folders", folders.agg(F.count("*")).scalar())
+
+
 _SERIES = f"""WITH {fx.TOKS},
 points AS (SELECT '#' AS series, term, postedDate, count(*) AS count FROM terms
            WHERE starts_with(term, '#') GROUP BY ALL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -110,6 +111,49 @@ def trained_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.model_vectors(model)
 
 
+@query(f"""WITH {fx.TOKS}, tags AS (SELECT postedDate, term FROM terms
+  WHERE starts_with(term, '#') OR starts_with(term, '@')),
+starts AS (SELECT CAST(range AS DATE) AS d FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 10 DAY)),
+w AS (SELECT strftime(d, '%Y-%m-%d') AS start, strftime(least(d + 10, DATE '2024-02-01'), '%Y-%m-%d') AS stop,
+             CAST(least(10, DATE '2024-02-01' - d) AS INTEGER) AS days FROM starts),
+c AS (SELECT start, days, term, count(*) AS n FROM w JOIN tags ON postedDate >= start AND postedDate < stop
+      GROUP BY ALL)
+SELECT start, days, count(*) FILTER (n >= 5 * days) AS words,
+       CASE WHEN count(*) FILTER (n >= 5 * days) > 0 THEN 'trained' ELSE 'failed' END AS status
+FROM w LEFT JOIN c USING (start, days) GROUP BY start, days""")
+def trained_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models over consecutive 10-day windows of the month, several at a time."""
+    toks = materialize(fx.toks(spark, sf_dir).select(DATE, enrich.tx.tags_and_handles("toks").alias("toks")),
+                       "toks")
+    return vectors.train_windows(toks, "2024-01-01", "2024-02-01", 10).select(
+        "start", "days", "words", "status")
+
+
+@query("""WITH dims AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v,
+    generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS d FROM dims),
+u AS (SELECT vec_id, i, d / sqrt(sum(d * d) OVER (PARTITION BY vec_id)) AS d FROM c),
+total AS (SELECT sum(s) AS t FROM (SELECT var_pop(d) AS s FROM u GROUP BY i))
+SELECT vec_id, round((SELECT t FROM total), 6) AS total_variance, true AS falling,
+       CAST(0 AS BIGINT) AS correlated
+FROM embeddings WHERE vec_id IN (1, 2, 3, 5, 8, 13)""")
+def projected_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a few rows among all principal components, which keep the whole variance."""
+    table = fx.table(spark, sf_dir, "embeddings")
+    size = table.select(F.size("embedding").alias("n")).first()["n"]
+    every = materialize(vectors.project_terms(table, size, "embedding").select("vec_id", "pca"), "pca")
+    spread = every.agg(*[F.var_pop(F.col("pca")[i]).alias(f"v{i}") for i in range(size)],
+                       *[F.covar_pop(F.col("pca")[i], F.col("pca")[i + 1]).alias(f"c{i}")
+                         for i in range(3)])
+    facts = spread.select(
+        F.round(sum(F.col(f"v{i}") for i in range(size)), 6).alias("total_variance"),
+        reduce(lambda a, b: a & b, [F.col(f"v{i}") + 1e-9 >= F.col(f"v{i + 1}")
+                                    for i in range(size - 1)]).alias("falling"),
+        sum((F.abs(f"c{i}") > 1e-6).cast("long") for i in range(3)).alias("correlated"))
+    picked = vectors.project_topic(table, [1, 2, 3, 5, 8, 13], 2, "vec_id", "embedding")
+    return picked.select("vec_id", *[facts.select(c).scalar().alias(c) for c in facts.columns])
+
+
 @query()
 def trained_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model per day; a day without posts is recorded as failed."""

@@ -54,21 +54,44 @@ def hashtag_author_counts(toks: DataFrame, verb: str | None = "post", by: str =
             .groupBy(by, "hashtag", "author").agg(F.count("*").alias(COUNT)))
 
 
+PAIR_BLOCK = 256
+"""Tokens of a block; two blocks make at most PAIR_BLOCK ** 2 pairs at a time."""
+
+
 def pair_counts(toks: DataFrame, by: str | None = DATE, tokens: Column | str = TOKENS) -> DataFrame:
     """Posts per unordered token pair ``tok1 < tok2``, optionally per ``by``.
 
     Equal token sets are counted first and expanded once with their number, so
-    copies and shares of one text cost a single expansion. The expansion goes token
-    by token; the pairs of a post are never held together, whatever its length.
+    copies and shares of one text cost a single expansion. A set is cut into blocks, and its pairs
+    of blocks are expanded one by one; those of a long set are dealt over all tasks, so the
+    pairs of a post are never together, whatever its length.
     """
     keys = [by] if by else []
-    sets = (toks.select(*keys, F.array_sort(F.array_distinct(tokens)).alias("_set"))
-            .groupBy(*keys, "_set").agg(F.count("*").alias("_n")))
-    firsts = sets.select(*keys, "_n", "_set", F.posexplode_outer("_set").alias("_i", "tok1"))
-    rest = F.slice("_set", F.col("_i") + 2, F.size("_set"))
-    return (firsts.filter(F.col("_i") + 1 < F.size("_set"))
-            .select(*keys, "_n", "tok1", F.explode_outer(rest).alias("tok2"))
-            .filter(F.col("tok2").isNotNull())
+    chosen = F.col(tokens) if isinstance(tokens, str) else tokens
+    sets = (toks.select(*keys, F.array_sort(F.array_distinct(F.array_compact(chosen))).alias("_set"))
+            .filter(F.size("_set") > 1).withColumn("_key", F.sha2(F.to_json("_set"), 256))
+            .groupBy(*keys, "_key").agg(F.any_value("_set").alias("_set"),
+                                        F.count("*").alias("_n")))
+    last = F.floor((F.size("_set") - 1) / PAIR_BLOCK).cast("int")
+
+    def block(i: Column) -> Column:
+        return F.slice("_set", i * PAIR_BLOCK + 1, F.lit(PAIR_BLOCK))
+
+    short = sets.filter(F.size("_set") <= PAIR_BLOCK).select(
+        *keys, "_n", F.col("_set").alias("_a"), F.lit(None).cast("array<string>").alias("_b"))
+    long = sets.filter(F.size("_set") > PAIR_BLOCK)
+    left = long.select(*keys, "_n", "_key", "_set", last.alias("_last"),
+                       F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+    both = (left.select(*keys, "_n", "_key", "_set", "_i",
+                        F.explode(F.sequence("_i", "_last")).alias("_j"))
+            .select(*keys, "_n", "_key", "_i", "_j", block(F.col("_i")).alias("_a"),
+                    F.when(F.col("_j") > F.col("_i"), block(F.col("_j"))).alias("_b"))
+            .repartition("_key", "_i", "_j").select(*keys, "_n", "_a", "_b"))
+    # A block meets itself (the tokens after each of its own) or a later one (all of its tokens).
+    pairs = F.flatten(F.transform("_a", lambda x, i: F.transform(
+        F.coalesce(F.col("_b"), F.slice("_a", i + 2, F.lit(PAIR_BLOCK))),
+        lambda y: F.struct(x.alias("tok1"), y.alias("tok2")))))
+    return (short.unionByName(both).select(*keys, "_n", F.inline(pairs))
             .groupBy(*keys, "tok1", "tok2").agg(F.sum("_n").alias(COUNT)))
 
 

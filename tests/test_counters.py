@@ -145,3 +145,16 @@ def test_stop_rule_of_the_layout():
     assert not slowed_down([1, 30, 40, 1], 20, 2)
     assert slowed_down([1, 30, 40, 1, 1.5], 20, 2)
     assert not slowed_down([5, 4, 3], 20, 1)
+
+
+def test_pairs_of_a_long_post_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(counters, "PAIR_BLOCK", 4)
+    sets = [[f"t{i:02}" for i in range(n)] for n in (0, 1, 2, 4, 5, 11, 11)] + [["b", "a", "a", None], None]
+    toks = spark.createDataFrame([("d", s) for s in sets], "postedDate string, toks array<string>")
+    found = {(r.tok1, r.tok2): r["count"] for r in counters.pair_counts(toks).collect()}
+    want = {}
+    for s in sets:
+        own = sorted({t for t in s or [] if t})
+        for pair in ((a, b) for i, a in enumerate(own) for b in own[i + 1:]):
+            want[pair] = want.get(pair, 0) + 1
+    assert found == want

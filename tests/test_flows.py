@@ -11,6 +11,7 @@ from murmura.catalog import fixtures as fx
 from murmura.operators import counters, enrich, vectors
 from murmura.plans import reports
 from murmura.plans.ingest import Ingest, backfill
+from murmura.runtime import scratch_path
 from murmura.sources import activities as files
 from murmura.sources import registry, tables
 from murmura.streaming import start_ingest
@@ -100,7 +101,7 @@ def test_nearest_vectors_against_numpy(spark, monkeypatch):
     want = {(q, r + 1): k for q in (f"v{i:03d}" for i in range(7)) for r, k in enumerate(sorted(
         unit, key=lambda k: (-round(float(unit[q] @ unit[k]), 9), k))[:4])}
     for passes in (1024, 2):
-        monkeypatch.setattr(vectors, "QUERIES_PER_PASS", passes)
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", passes)
         got = vectors.nearest_vectors(table, asked, 4).collect()
         assert {(r.query_id, r["rank"]): r.id for r in got} == want
 
@@ -188,3 +189,39 @@ def test_shared_folder_must_be_given_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         runtime.shared_folder(Session)
+
+
+def test_nearest_vectors_of_unlike_lengths_in_blocks(spark, monkeypatch):
+    from murmura.operators import vectors as v
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=(2, 4)[i % 2]).tolist()) for i in range(60)] + [(60, None), (61, [0.0, 0.0])]
+    asked = [(f"q{i}", rng.normal(size=(4, 2, 3)[i % 3]).tolist()) for i in range(9)] + [("qn", None)]
+    have = spark.createDataFrame(rows, "id long, vector array<double>")
+    want = {}
+    for name, q in asked:
+        scores = [(-round(float(np.dot(q, x) / np.linalg.norm(q) / (np.linalg.norm(x) or 1)), 9), i)
+                  for i, x in rows if q and x and len(x) == len(q)]
+        want |= {(name, rank): i for rank, (_, i) in enumerate(sorted(scores)[:5], 1)}
+    query = spark.createDataFrame(asked, "query_id string, query_vector array<double>")
+    for block, cell in ((1024, 16_384), (2, 7)):
+        monkeypatch.setattr(v, "QUERY_BLOCK", block)
+        monkeypatch.setattr(v, "VECTOR_CELL", cell)
+        found = v.nearest_vectors(have, query, 5).collect()
+        assert {(r.query_id, r["rank"]): r.id for r in found} == want
+
+
+def test_expired_groups_leave_the_store(spark):
+    from murmura.sources import counter_store as store
+    path = scratch_path(spark, "counts")
+    def add(batch, date, n, day):
+        rows = spark.createDataFrame([(date, "#", "#a", n)], "postedDate string, kind string, term string, count long")
+        store.merge_counts(path, rows, batch, datetime(2024, 1, day))
+    for batch in range(12):
+        add(batch, f"2024-01-0{1 + batch % 3}", 1, 2 + (batch % 3) * 5)
+    assert len(store.expire_store(spark, path, datetime(2024, 1, 12))) == 12
+    add(1, "2024-01-02", 1, 12)  # a repeated batch
+    add(20, "2024-01-03", 5, 12)
+    now = {r.postedDate: r["count"] for r in store.read_counts(spark, path).collect()}
+    assert now == {"2024-01-02": 4, "2024-01-03": 9}
+    assert "folded/folded_to=0" in store.expire_store(spark, path, datetime(2024, 1, 19))
+    assert {r.postedDate for r in store.read_counts(spark, path).collect()} == {"2024-01-03"}
