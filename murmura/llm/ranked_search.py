@@ -32,12 +32,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from murmura.llm.common import binary_rows, slices, table
+from murmura.llm.common import binary_rows, save_array, shared_folder_for, slices, table
 from murmura.operators.skew import with_global_order
-from murmura.runtime import materialize, scratch_path
+from murmura.runtime import materialize
 
 ITEMS = 1_000
 """Items whose terms are indexed and searched together; more items take further passes."""
@@ -201,15 +203,20 @@ class Shard:
         self.summary_tops = np.concatenate([np.zeros(0, np.uint16), *summary_tops])
         return self
 
-    def packed(self) -> list[bytes]:
-        return [np.ascontiguousarray(getattr(self, name), kind).tobytes()
-                for name, kind in self.FIELDS]
+    def packed(self) -> bytes:
+        """All arrays behind each other, after their lengths in bytes; compressed."""
+        parts = [np.ascontiguousarray(getattr(self, name), kind) for name, kind in self.FIELDS]
+        sizes = np.array([p.nbytes for p in parts], np.int64)
+        return zstandard.ZstdCompressor(level=1).compress(
+            b"".join([sizes.tobytes(), *(p.tobytes() for p in parts)]))
 
     @classmethod
-    def unpacked(cls, columns: list[bytes]) -> Shard:
-        self = cls()
-        for (name, kind), data in zip(cls.FIELDS, columns):
-            setattr(self, name, np.frombuffer(data, kind))
+    def unpacked(cls, data: bytes) -> Shard:
+        self, data = cls(), zstandard.ZstdDecompressor().decompress(data)
+        at = 8 * len(cls.FIELDS)
+        for (name, kind), size in zip(cls.FIELDS, np.frombuffer(data, np.int64, len(cls.FIELDS))):
+            setattr(self, name, np.frombuffer(data[at:at + size], kind))
+            at += int(size)
         return self
 
     def open(self) -> None:
@@ -285,7 +292,13 @@ class Best:
 
 
 def build_index(vectors: DataFrame, df: np.ndarray, total: int, words: int) -> DataFrame:
-    """A written table of shards; see ``Shard.FIELDS``."""
+    """Shards as files of the shared folder, and a written table of their paths: file, documents.
+
+    A file holds one shard, some 5 MB, which a task reads when it comes to search it; a repeated
+    task writes its files anew under the same names.
+    """
+    spark = vectors.sparkSession
+    folder = shared_folder_for(spark, "search")
     weights = np.array([weight(total, int(x)) for x in df], np.int64)
     turn = np.empty(len(df), np.int64)
     turn[np.lexsort((np.arange(len(df)), df))] = np.arange(len(df))
@@ -303,17 +316,20 @@ def build_index(vectors: DataFrame, df: np.ndarray, total: int, words: int) -> D
                                       [*part.schema.names, "code"])
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        basis, waiting, held = planes(len(weights)), [], 0
+        basis, waiting, held, made = planes(len(weights)), [], 0, 0
+        task = TaskContext.get().partitionId()
 
         def shard() -> pa.RecordBatch:
             rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
             terms, counts, ends = unpacked(rows, 3, 4)
             values = impacts(rows.column(2).to_numpy(), ends, counts, total, words)
             ids = rows.column(1).fill_null(NO_ID).to_numpy()
-            made = Shard.build(ids, rows.column(0).to_numpy(), ends, terms, values, weights,
-                               basis, turn)
-            return pa.record_batch([pa.array([x], pa.binary()) for x in made.packed()],
-                                   [name for name, _ in Shard.FIELDS])
+            built = Shard.build(ids, rows.column(0).to_numpy(), ends, terms, values, weights,
+                                basis, turn)
+            path = f"{folder}/shard-{task}-{made}"
+            save_array(path, np.frombuffer(built.packed(), np.uint8))
+            return pa.record_batch([pa.array([path]), pa.array([len(ids)], pa.int64())],
+                                   ["file", "documents"])
 
         for batch in batches:
             while batch.num_rows:
@@ -322,22 +338,19 @@ def build_index(vectors: DataFrame, df: np.ndarray, total: int, words: int) -> D
                 batch = batch.slice(waiting[-1].num_rows)
                 if held == size:
                     yield shard()
-                    waiting, held = [], 0
+                    waiting, held, made = [], 0, made + 1
         if held:
             yield shard()
 
     size = max(16, min(SHARD, CELLS // max(len(df), 1)))
-    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism,
+    tasks = max(spark.sparkContext.defaultParallelism,
                 -(-total // (size * SHARDS_A_TASK)))
     # The row settles ties, so that many equal vectors are dealt over several tasks.
     coded = vectors.filter(F.octet_length("terms") > 0).mapInArrow(
         codes, "row long, doc_id long, n long, terms binary, counts binary, code long")
     placed = (coded.repartitionByRange(tasks, "code", "row")
               .sortWithinPartitions("code", "row"))
-    schema = ", ".join(f"{name} binary" for name, _ in Shard.FIELDS)
-    path = scratch_path(vectors.sparkSession, "shards")
-    placed.mapInArrow(shards, schema).write.option("compression", "zstd").parquet(path)
-    return vectors.sparkSession.read.schema(schema).parquet(path)
+    return materialize(placed.mapInArrow(shards, "file string, documents long"), "shards")
 
 
 def search_index(index: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray]],
@@ -346,8 +359,9 @@ def search_index(index: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(k) for _ in asked]
         for batch in batches:
-            for at in range(batch.num_rows):
-                shard = Shard.unpacked([c[at].as_py() for c in batch.columns])
+            for path in batch.column(0).to_pylist():
+                with open(path, "rb") as file:
+                    shard = Shard.unpacked(file.read())
                 shard.open()
                 for (_, terms, weights), own in zip(asked, best):
                     shard.search(terms, weights, own)
@@ -358,7 +372,10 @@ def search_index(index: DataFrame, asked: list[tuple[int, np.ndarray, np.ndarray
             pa.array(ids, mask=ids == NO_ID), pa.array(rows), pa.array(scores)],
             ["item", "doc_id", "row", "score"])
 
-    return index.mapInArrow(run, "item long, doc_id long, row long, score long")
+    spark, shards = index.sparkSession, index.count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-shards // SHARDS_A_TASK))
+    return index.repartition(tasks, "file").mapInArrow(
+        run, "item long, doc_id long, row long, score long")
 
 
 def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
