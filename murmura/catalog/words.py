@@ -18,8 +18,9 @@ from murmura.plans.ingest import Ingest
 from murmura.runtime import materialize, scratch_path
 from murmura.schema import DATE
 from murmura.sources import activities as files
-from murmura.sources import registry
-from murmura.streaming import current_counts, start_counts, start_ingest, windowed_entity_counts
+from murmura.sources import counter_store as store
+from murmura.sources import registry, tables
+from murmura.streaming import closing, current_counts, start_counts, start_ingest, windowed_entity_counts
 
 DAY = "2024-01-15"
 
@@ -249,3 +250,73 @@ def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         job.run(files.read_activities(spark, f"{folder}/*.json.gz"), 0)
     return job.read_counts(spark, "authors").drop("updated_at")
+
+
+@query(f"""WITH {fx.EN},
+mark AS (SELECT max(ts) - INTERVAL 2 DAY AS passed FROM f JOIN documents d ON f.event_id % (
+    SELECT nd FROM n) = d.doc_id WHERE lang = 'en'),
+used AS (SELECT postedDate, unnest(toks) AS term,
+                postedDate <= '2024-01-10' AND CAST(post_id AS BIGINT) % 7 = 0 AS tardy FROM en)
+SELECT postedDate, {fx.KIND} AS kind, term, count(*) FILTER (NOT tardy) AS count,
+       count(*) FILTER (tardy) AS late
+FROM used, mark WHERE CAST(postedDate AS DATE) + INTERVAL 1 DAY <= passed GROUP BY ALL""")
+def late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final counts of closed days over four batches, and what came after their day was closed."""
+    records = materialize(fx.activities(spark, sf_dir), "records")
+    day = F.substring("postedTime", 1, 10)
+    tardy = (day <= "2024-01-10") & (F.col("id").cast("bigint") % 7 == 0)
+    parts = [(day <= "2024-01-10") & ~tardy, (day > "2024-01-10") & (day <= "2024-01-20"),
+             day > "2024-01-20", tardy]
+    inbox, path, checkpoint = (scratch_path(spark, x) for x in ("inbox", "closed", "checkpoint"))
+    counts = None
+    for part in parts:
+        records.filter(part).write.mode("append").option("compression", "gzip").json(inbox)
+        counts = counts or windowed_entity_counts(
+            files.read_activity_stream(spark, inbox), watermark="2 days", **fx.PLAIN)
+        closing.start_closed(counts, path, checkpoint, None).awaitTermination()
+    posts = enrich.with_tokens(enrich.english(enrich.with_post_id(
+        files.read_activities(spark, inbox))), **fx.PLAIN)
+    return closing.late_counts(counters.entity_counts(enrich.token_table(posts)),
+                               closing.read_closed(spark, path))
+
+
+@query(f"""WITH {fx.ENTITY_COUNTS}, judged AS (
+  SELECT *, postedDate >= '{DAY}' OR (kind = '#' AND postedDate < '2024-01-08') AS alive FROM counts)
+SELECT postedDate, kind, alive, CAST(CASE WHEN alive THEN sum(count) END AS BIGINT) AS uses
+FROM judged GROUP BY postedDate, kind, alive""")
+def expired_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A timer per (date, kind): groups without updates for a week leave state, store and folders."""
+    path, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "checkpoint")
+    counts = materialize(counters.entity_counts(fx.toks(spark, sf_dir)), "counts")
+    old, again = F.col(DATE) < DAY, (F.col(DATE) < "2024-01-08") & (F.col("kind") == "#")
+    steps = [(old & ~again, datetime(2024, 1, 15)), (again, datetime(2024, 1, 15, 1)),
+             # The next batch adds nothing to the counts, it only renews its groups.
+             (again, datetime(2024, 1, 21)), (~old, datetime(2024, 1, 24))]
+    for batch, (part, when) in enumerate(steps):
+        rows = counts.filter(part)
+        if batch == 2:
+            rows = rows.withColumn("count", F.lit(0).cast("long"))
+        store.merge_counts(path, rows, batch, when)
+        closing.start_expiry(spark, path, checkpoint, interval=None).awaitTermination()
+    left = store.read_counts(spark, path).groupBy(DATE, "kind").agg(F.sum("count").alias("uses"))
+    return counts.select(DATE, "kind").distinct().join(left, [DATE, "kind"], "left").select(
+        DATE, "kind", F.col("uses").isNotNull().alias("alive"), "uses")
+
+
+@query(f"""WITH {fx.EN}
+SELECT postedDate, verb, count(*) AS posts, CAST(sum(len(toks)) AS BIGINT) AS tokens,
+       CAST(2 AS BIGINT) AS merges FROM en GROUP BY ALL""")
+def compacted_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts in twelve batch folders, merged in two steps; a batch written again counts once."""
+    root = scratch_path(spark, "posts")
+    posts = materialize(fx.unscored(spark, sf_dir), "posts")
+    parts = [posts.filter(F.pmod(F.xxhash64("post_id"), F.lit(12)) == i) for i in range(12)]
+    for batch, part in enumerate(parts):
+        tables.write_batch(part, root, batch)
+        if batch in (4, 9):
+            tables.compact_table(spark, root, batch, remove=batch == 9)
+    tables.write_batch(parts[2], root, 2)
+    merges = spark.read.parquet(f"{root}_merged").agg(F.count_distinct("upto")).scalar()
+    return tables.read_table(spark, root).groupBy(DATE, "verb").agg(
+        F.count("*").alias("posts"), F.sum(F.size("toks").cast("long")).alias("tokens")
+    ).withColumn("merges", merges)
