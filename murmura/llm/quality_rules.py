@@ -158,9 +158,11 @@ def choose_cutoffs(labelled: DataFrame, alpha: float = ALPHA, delta: float = DEL
     strata = F.size(F.collect_set("stratum").over(Window.partitionBy()))
     tests = each.withColumn("strata", strata).select(
         "stratum", "rule", "n", "at", "strata", F.posexplode(cuts[F.col("rule")]).alias("i", "cutoff"))
-    # Level l is rejected by the cutoffs 1 to l, so cutoff i rejects the levels above i.
+    # Cutoffs fall from lenient to strict: level l is above the last l of them.
+    last = F.size(cuts[F.col("rule")]) - 1
+    tests = tests.withColumn("from_level", last - F.col("i") + 1)
     k = F.aggregate(F.map_entries("at"), F.lit(0).cast("long"), lambda a, e: a + F.when(
-        e["key"] > F.col("i"), e["value"]).otherwise(F.lit(0)))
+        e["key"] >= F.col("from_level"), e["value"]).otherwise(F.lit(0)))
     tests = tests.withColumn("k", k).withColumn("limit", F.log(
         F.lit(delta) / (F.col("strata") * len(rules))))
     # Each rule gets an equal part of alpha, so that all rules of a stratum together keep it.
@@ -206,3 +208,53 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(docs, labels).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "failed_rules")
+
+
+_GRID = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))"
+                  for rule, cuts in RULES.items() for i, c in enumerate(cuts))
+_RATES = " UNION ALL ".join(f"SELECT doc_id, '{r}' AS rule, {r} AS value FROM rates" for r in RULES)
+_ORDER = "[" + ", ".join(f"'{r}'" for r in RULES) + "]"
+
+OP1_SQL = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+places AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW}),
+counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i:i + {WINDOW - 1}]) AS c FROM places),
+hits AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM counted WHERE c > 1),
+covered AS (SELECT doc_id, sum(least({WINDOW}, coalesce(after - i, {WINDOW}))) AS n FROM hits GROUP BY doc_id),
+f AS (SELECT w.doc_id, lang, len(ws) AS n_words,
+  length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+  length(t) - length(translate(t, '{SYMBOLS}', '')) AS n_symbols,
+  len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+  CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+  length(regexp_replace(t, '[^\p{{L}}]+', '', 'g')) AS n_letters,
+  length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
+  length(regexp_replace(t, '[\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g')) AS n_marks
+  FROM w LEFT JOIN covered USING (doc_id)),
+rates AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+  CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_rate,
+  CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_rate,
+  CASE WHEN n_letters > 0 THEN n_upper / n_letters ELSE 0 END AS upper_rate,
+  CASE WHEN n_words > 0 THEN n_marks / n_words ELSE 0 END AS mark_rate,
+  CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS long_word_mean FROM f),
+vals AS ({_RATES}),
+grid(rule, i, cutoff) AS (VALUES {_GRID}),
+good AS (SELECT doc_id, coalesce(lang, '') AS stratum FROM rates
+         JOIN (SELECT DISTINCT doc_id, quality FROM labels) USING (doc_id) WHERE quality = 1),
+tests AS (SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k
+          FROM good JOIN vals USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
+tails AS (SELECT *, (SELECT count(DISTINCT stratum) FROM good) AS strata,
+  list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+    + j * ln({ALPHA / len(RULES)!r}) + (n - j) * ln(1 - {ALPHA / len(RULES)!r})))) AS tail FROM tests),
+judged AS (SELECT *, tail <= {DELTA} / (strata * {len(RULES)}) AS passed FROM tails),
+chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(passed) OVER (
+  PARTITION BY stratum, rule ORDER BY i) AS so_far FROM judged) WHERE so_far GROUP BY ALL),
+failures AS (SELECT doc_id, list(rule ORDER BY list_position({_ORDER}, rule)) AS failed_rules
+  FROM vals JOIN rates USING (doc_id) JOIN chosen USING (rule)
+  WHERE chosen.stratum = coalesce(lang, '') AND value > cutoff GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND failed_rules IS NULL AS kept,
+       coalesce(failed_rules, CAST([] AS VARCHAR[])) AS failed_rules
+FROM rates LEFT JOIN failures USING (doc_id)"""
+"""The same in DuckDB; doc_id must be unique. Cutoffs are tested on the values themselves."""

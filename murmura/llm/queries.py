@@ -8,7 +8,7 @@ from murmura.llm.ngram_jaccard import op4_ngram_jaccard_join
 from murmura.llm.packing import op10_packing
 from murmura.llm.periodic_runs import op13_periodic_runs
 from murmura.llm.quality_classifier import op7_quality_classifier
-from murmura.llm.quality_rules import op1_quality_rules
+from murmura.llm.quality_rules import OP1_SQL, op1_quality_rules
 from murmura.llm.ranked_search import OP11_SQL, op11_ranked_search
 from murmura.llm.suffix_dedup import op12_suffix_dedup
 from murmura.llm.token_counts import op2_token_counts
@@ -29,4 +29,4 @@ QUERIES = {
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op11_ranked_search": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op11_ranked_search": OP11_SQL}
