@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from murmura.llm import embedding_dedup, language_model, ngram_jaccard, quality_classifier
 from murmura.llm.components import components
@@ -114,39 +115,62 @@ def test_vector_links_over_many_shards_and_splits(spark, monkeypatch, caplog):
     assert f"found {found[::20].sum()} of the {links[::20].sum()} links" in caplog.text
 
 
-def test_language_model_equals_plain_counts(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_equals_plain_counts(spark, order):
     rows, docs = make_docs(spark)
     folded = language_model.with_fold(docs)
-    got = language_model.score_texts(folded, language_model.train(folded.filter("not held_out"))).collect()
+    model = language_model.train(folded.filter("not held_out"), order)
+    got = language_model.score_texts(folded, model).collect()
     tokens = [((t or "").encode().lower().split() + [b"\n"], i) for i, t, *_ in rows]
     train = [w for w, i in tokens if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1]
-    one, two = Counter(w for t in train for w in t), Counter()
+    grams = {order: Counter()}
     for t in train:
-        two.update(zip([None, *t[:-1]], t))
-    before, history = Counter(b for _, b in two), defaultdict(Counter)
-    for (a, _), c in two.items():
-        history[a].update({0: c, min(c, 3): 1})
-    c2, c1 = Counter(two.values()), Counter(before.values())
-    d2 = language_model.discounts(*[c2[i] for i in range(1, 5)])
-    d1 = language_model.discounts(*[c1[i] for i in range(1, 5)])
-    total, size = sum(before.values()), len(one)
-    rest = sum(d1[min(c, 3)] * n for c, n in c1.items()) / total
-
-    def log_p(a, b):
-        p = max(before[b] - d1[min(before[b], 3)], 0) / total + rest / (size + 1)
-        if a in history:
-            h, c = history[a], two[a, b]
-            p = p * sum(d2[k] * h[k] for k in (1, 2, 3)) / h[0] + max(c - d2[min(c, 3)], 0) / h[0]
-        return math.log10(p)
-
-    expected = sorted(sum(log_p(a, b) for a, b in zip([None, *t[:-1]], t)) for t, _ in tokens)
+        whole = [None] * (order - 1) + t
+        grams[order].update(zip(*[whole[i:] for i in range(order)]))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    history = {k: defaultdict(Counter) for k in grams}
+    for k in grams:
+        for g, c in grams[k].items():
+            history[k][g[:-1]].update({0: c, min(c, 3): 1})
+    levels = {k: Counter(g.values()) for k, g in grams.items()}
+    d = {k: language_model.discounts(*[n[i] for i in range(1, 5)]) for k, n in levels.items()}
+    size = len(grams[1])
+
+    def p_of(h, w):
+        k = len(h) + 1
+        below = p_of(h[1:], w) if h else 1 / (size + 1)
+        if h not in history[k]:
+            return below
+        n, c = history[k][h], grams[k][*h, w]
+        return (max(c - d[k][min(c, 3)], 0) + sum(d[k][i] * n[i] for i in (1, 2, 3)) * below) / n[0]
+
+    expected = sorted(sum(math.log10(p_of(tuple(whole[i:i + order - 1]), whole[i + order - 1]))
+                          for whole in [[None] * (order - 1) + t] for i in range(len(t))) for t, _ in tokens)
     assert np.allclose(sorted(r.score for r in got), expected)
-    assert {r.train_tokens for r in got} == {sum(one.values())}
+    assert {r.train_tokens for r in got} == {sum(map(len, train))}
+    assert 0.9 < sum(p_of((None,) * (order - 1), w) for (w,) in grams[1]) <= 1
+
+
+def test_language_model_of_nothing_and_of_frequent_words(spark):
+    rows, docs = make_docs(spark)
+    folded = language_model.with_fold(docs)
     empty = docs.limit(0)
     model = language_model.train(empty)
     assert language_model.score_texts(language_model.with_fold(empty), model).count() == 0
     unknown = language_model.score_texts(folded, model).first()
     assert unknown.n_known == 0 and math.isfinite(unknown.score)
+    same = spark.createDataFrame([(i, "a " * 400) for i in range(40)], "doc_id long, text string")
+    likely = language_model.score_texts(language_model.with_fold(same), language_model.train(same)).first()
+    assert likely.perplexity < 1.2
+    with pytest.raises(ValueError):
+        language_model.train(docs, 1)
+
+
+def test_language_model_counts_beyond_one_byte():
+    counts = np.array([1, 254, 255, 256, 2**40, 3], np.uint64)
+    parts = language_model.small(counts)
+    assert language_model.counts_at(parts, np.array([5, 4, 3, 2, 1, 0])).tolist() == counts[::-1].tolist()
 
 
 def test_classifier_keeps_good_and_rejects_bad(spark):
