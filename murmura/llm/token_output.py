@@ -10,7 +10,8 @@ in parallel; a filter on doc_id skips stripes and row groups by their ranges and
 Files follow each other by their number, which is the order of doc_id.
 
 Defined results: null text counts as empty and yields the end id alone; a null doc_id comes
-first; rows with the same doc_id all stay, ordered by text; an empty table gives no rows; other
+first; rows with the same doc_id all stay, ordered by a hash of the text, so that the sample that
+finds the ranges holds no texts, then by text; an empty table gives no rows; other
 columns are ignored whatever their names.
 """
 
@@ -54,8 +55,9 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str | None = None,
                     end_id: int = END_ID, row_group: int = 1_000,
                     stripe_bytes: int = 32 << 20) -> None:
     """Encode ``docs`` (doc_id, text) and write ORC files in ascending doc_id order."""
-    ordered = (docs.select("doc_id", "text").repartitionByRange("doc_id", "text")
-               .sortWithinPartitions("doc_id", "text"))
+    tie = F.xxhash64("text")
+    ordered = (docs.select("doc_id", "text").repartitionByRange("doc_id", tie)
+               .sortWithinPartitions("doc_id", tie, "text"))
     (ordered.mapInArrow(encoder(tokenizer or word_tokenizer_path(), end_id), FILE_SCHEMA)
      .write.option("compression", "zstd")
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
