@@ -173,6 +173,15 @@ def test_language_model_counts_beyond_one_byte():
     assert language_model.counts_at(parts, np.array([5, 4, 3, 2, 1, 0])).tolist() == counts[::-1].tolist()
 
 
+def test_language_model_finds_hashes_that_share_a_half():
+    keys = np.array([3 << 32, 3 << 32 | 1 << 16, 3 << 32 | 2 << 16, 5 << 32 | 7 << 16, 2**64 - 1], np.uint64)
+    absent = np.array([3 << 32 | 3 << 16, 5 << 32, 0, 2**64 - 1 - (1 << 16)], np.uint64)
+    at, found = language_model.look_up_cut(language_model.cut(keys), np.concatenate([keys[::-1], absent]))
+    assert at[:5].tolist() == [4, 3, 2, 1, 0] and found.tolist() == [True] * 5 + [False] * 4
+    at, found = language_model.look_up_cut(language_model.cut(keys[:0]), absent)
+    assert not found.any()
+
+
 def test_classifier_keeps_good_and_rejects_bad(spark):
     draw = random.Random(2)
     rows = []
