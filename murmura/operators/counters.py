@@ -6,11 +6,14 @@ that appears in a third of all posts reaches the shuffle as one row per task.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import text as tx
 from murmura.functions.text import entity_kind
+from murmura.runtime import materialize
 from murmura.schema import AUTHOR, COUNT, DATE, TOKENS
 
 
@@ -56,6 +59,8 @@ def hashtag_author_counts(toks: DataFrame, verb: str | None = "post", by: str =
 
 PAIR_BLOCK = 256
 """Tokens of a block; two blocks make at most PAIR_BLOCK ** 2 pairs at a time."""
+TASK_PAIRS = 4_000_000
+"""Pairs expanded by a task, on average: their counts stay in its memory."""
 
 
 def pair_counts(toks: DataFrame, by: str | None = DATE, tokens: Column | str = TOKENS) -> DataFrame:
@@ -68,30 +73,34 @@ def pair_counts(toks: DataFrame, by: str | None = DATE, tokens: Column | str = T
     """
     keys = [by] if by else []
     chosen = F.col(tokens) if isinstance(tokens, str) else tokens
-    sets = (toks.select(*keys, F.array_sort(F.array_distinct(F.array_compact(chosen))).alias("_set"))
-            .filter(F.size("_set") > 1).withColumn("_key", F.sha2(F.to_json("_set"), 256))
+    # Single tokens are dropped after the grouping: a filter before it would be pushed below the
+    # token expression as a second copy of it.
+    sets = (toks.select(*keys, F.sort_array(F.array_distinct(F.array_compact(chosen))).alias("_set"))
+            .withColumn("_key", F.sha2(F.to_json("_set"), 256))
             .groupBy(*keys, "_key").agg(F.any_value("_set").alias("_set"),
-                                        F.count("*").alias("_n")))
+                                        F.count("*").alias("_n"))
+            .filter(F.size("_set") > 1))
+    sets = materialize(sets, "sets")
+    size = F.size("_set").cast("long")
+    total = sets.agg(F.sum(size * (size - 1) / 2)).first()[0] or 0
     last = F.floor((F.size("_set") - 1) / PAIR_BLOCK).cast("int")
 
     def block(i: Column) -> Column:
         return F.slice("_set", i * PAIR_BLOCK + 1, F.lit(PAIR_BLOCK))
 
-    short = sets.filter(F.size("_set") <= PAIR_BLOCK).select(
-        *keys, "_n", F.col("_set").alias("_a"), F.lit(None).cast("array<string>").alias("_b"))
-    long = sets.filter(F.size("_set") > PAIR_BLOCK)
-    left = long.select(*keys, "_n", "_key", "_set", last.alias("_last"),
+    # Sets are small where their pairs are many, so tasks are counted by pairs and not by bytes.
+    left = sets.select(*keys, "_n", "_key", "_set", last.alias("_last"),
                        F.explode(F.sequence(F.lit(0), last)).alias("_i"))
     both = (left.select(*keys, "_n", "_key", "_set", "_i",
                         F.explode(F.sequence("_i", "_last")).alias("_j"))
             .select(*keys, "_n", "_key", "_i", "_j", block(F.col("_i")).alias("_a"),
                     F.when(F.col("_j") > F.col("_i"), block(F.col("_j"))).alias("_b"))
-            .repartition("_key", "_i", "_j").select(*keys, "_n", "_a", "_b"))
+            .repartition(max(1, ceil(total / TASK_PAIRS)), "_key", "_i", "_j"))
     # A block meets itself (the tokens after each of its own) or a later one (all of its tokens).
     pairs = F.flatten(F.transform("_a", lambda x, i: F.transform(
         F.coalesce(F.col("_b"), F.slice("_a", i + 2, F.lit(PAIR_BLOCK))),
         lambda y: F.struct(x.alias("tok1"), y.alias("tok2")))))
-    return (short.unionByName(both).select(*keys, "_n", F.inline(pairs))
+    return (both.select(*keys, "_n", F.inline(pairs))
             .groupBy(*keys, "tok1", "tok2").agg(F.sum("_n").alias(COUNT)))
 
 
