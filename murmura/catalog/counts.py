@@ -13,7 +13,7 @@ from murmura.functions import text as tx
 from murmura.operators import counters, enrich, ranking
 from murmura.plans.reports import top_terms_json
 from murmura.runtime import materialize, scratch_path
-from murmura.schema import DATE, TOKENS
+from murmura.schema import AUTHOR, DATE, TOKENS
 from murmura.sources import counter_store as store
 
 DAY = "2024-01-15"
@@ -197,7 +197,8 @@ SELECT postedDate, kind, term, count FROM counts WHERE postedDate >= '{DAY}'""")
 def expired_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days last updated more than a week ago are gone."""
     path = scratch_path(spark, "counts")
-    counts = _counts(spark, sf_dir)
+    # Counted once: a batch for each half would tokenize its posts, and the other's, again.
+    counts = materialize(_counts(spark, sf_dir), "counts")
     store.merge_counts(path, counts.filter(F.col(DATE) < DAY), 0, datetime(2024, 1, 15))
     store.merge_counts(path, counts.filter(F.col(DATE) >= DAY), 1, datetime(2024, 1, 31))
     alive = store.expire_counts(store.read_counts(spark, path), datetime(2024, 2, 1))
@@ -231,7 +232,9 @@ points AS (SELECT '#' AS series, term, postedDate, count(*) AS count FROM terms
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toks = fx.toks(spark, sf_dir)
+    # Posts are tokenized once; their hashtags, which are all that is counted here, are kept.
+    toks = materialize(fx.toks(spark, sf_dir).select(DATE, AUTHOR, tx.hashtags(TOKENS).alias(TOKENS)),
+                       "toks")
     uses = counters.hashtag_counts(toks).withColumnRenamed("hashtag", "term")
     reach = counters.hashtag_reach(toks).withColumnRenamed("hashtag", "term")
     # An earlier write of the same points, with other values, is overwritten.
