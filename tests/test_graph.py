@@ -1,3 +1,4 @@
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -190,6 +191,53 @@ def test_cell_hierarchy_is_close_to_all_pairs(dims, levels, error):
     assert np.median(wrong) < error
 
 
+@pytest.mark.parametrize("dims, levels", [(2, 5), (3, 3)])
+def test_repulsion_reads_only_the_bodies_it_needs(dims, levels):
+    rng = np.random.default_rng(7)
+    at, mass = np.zeros((512, 3)), rng.integers(1, 9, 512).astype(float)
+    at[:, :dims] = rng.uniform(-100, 100, (512, dims))
+    side = 2 ** levels
+    width = 200.0 / side
+    cell = np.floor((at[:, :dims] + 100) / width).astype(int)
+    number = (cell * side ** np.arange(dims)).sum(axis=1)
+    rows = [(n, mass[number == n].sum(), *(mass[number == n, None] * at[number == n]).sum(axis=0))
+            for n in np.unique(number)]
+    cells = Cells(dims, levels, np.full(3, -100.0), width, rows)
+    moved = np.clip(at + rng.normal(0, 5, at.shape) * (np.arange(3) < dims), -99, 99)
+    cells.repulsion(moved, at, mass)
+    tracemalloc.start()
+    found = cells.repulsion(moved, at, mass)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A number or a few per body met, where whole vectors of all cousins were kept.
+    assert peak < 512 * 8 * 8 * 6 ** dims
+    for i in range(0, 512, 37):
+        here = np.floor((moved[i, :dims] + 100) / width).astype(int)
+        force = np.zeros(3)
+        for level in range(2, levels + 1):
+            shift = levels - level
+            group, mine = cell >> shift, here >> shift
+            for other in np.unique(group, axis=0):
+                far = np.abs(other - mine).max() > 1
+                met = far and np.abs((other >> 1) - (mine >> 1)).max() <= 1
+                if not met and (far or level < levels):
+                    continue
+                held = (group == other).all(axis=1) & (np.arange(512) != i)
+                if held.any():
+                    away = moved[i] - (mass[held, None] * at[held]).sum(axis=0) / mass[held].sum()
+                    force += mass[held].sum() * away / (away ** 2).sum()
+        assert found[i] == pytest.approx(force, rel=1e-9, abs=1e-9)
+
+
+def test_blocks_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(layout_module, "BLOCK", 1)
+    placed = layout_module._Graph(edges(spark, CLIQUES), 2, 42)
+    assert placed.tasks == min(8, max(spark.sparkContext.defaultParallelism,
+                                      int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    placed.move(1, 1.0)
+    assert placed.state.count() == 8
+
+
 def test_layout_of_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(layout_module, "BLOCK", 3)
     placed = {r.id: (r.x, r.y) for r in layout(edges(spark, CLIQUES), 2, 60, early_stop=False).collect()}
