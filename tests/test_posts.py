@@ -84,3 +84,47 @@ def test_tokens_are_computed_once_for_counts(spark, small):
 def test_simple_tokens_null(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(simple_tokens("t").alias("x")).first().x is None
+
+
+def test_tags_alone_equal_the_tags_of_all_tokens(spark):
+    from murmura.functions.text import simple_tokens, tags_and_handles
+    from murmura.functions.tweet_tokens import tweet_tokens
+
+    rows = [("Don't #Stop @Bob's bob's '#x http://a.co/#frag 12 #12 @a", "RT @Bob: #stop it's #É"),
+            ("##a a#b @@c #'s 's#d", None), (None, None), ("no tags", "")]
+    posts = spark.createDataFrame(
+        [("2024-01-01T00:00:00.000Z", a, (b,)) for a, b in rows],
+        "postedTime string, body string, object struct<body: string>")
+    for tokenizer in (simple_tokens, tweet_tokens):
+        every = enrich.with_tokens(posts, tokenizer=tokenizer)
+        tags = enrich.with_tokens(posts, tokenizer=tokenizer, tags_only=True)
+        wanted = [r[0] for r in every.select(tags_and_handles("toks")).collect()]
+        assert [r.toks for r in tags.collect()] == wanted
+        assert any(wanted)
+
+
+def test_excluded_bodies_by_texts_and_patterns(spark):
+    posts = spark.createDataFrame([("a #job",), ("x13",), ("fine",), (None,)], "body string")
+    kept = enrich.exclude_bodies(posts, ["#job", "#t13"])
+    assert [r.body for r in kept.collect()] == ["x13", "fine"]
+    assert "RLIKE" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    mixed = enrich.exclude_bodies(posts, ["#job", "x[0-9]+"])
+    assert [r.body for r in mixed.collect()] == ["fine"]
+
+
+def test_related_terms_tokenize_posts_once(spark, tmp_path, monkeypatch):
+    from murmura.catalog import fixtures, words
+
+    made = []
+    whole = fixtures.toks
+    monkeypatch.setattr(fixtures, "toks", lambda *a, **k: made.append(k) or whole(*a, **k))
+    days = 40
+    spark.range(days).selectExpr(
+        "id AS event_id", "timestamp'2024-01-15 10:00:00' AS ts", "id % 4 AS user_id",
+        "'click' AS event_type", "1.0D AS value", """'{"k": 1}' AS props"""
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT 0L AS doc_id, 'some words' AS text, 'en' AS lang").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    found = {r.word: r["count"] for r in words.related_terms(spark, str(tmp_path)).collect()}
+    assert made == [{"tags_only": True}]
+    assert found == {"#t1": days}
