@@ -113,3 +113,20 @@ def test_numbers_made_from_paths_never_meet_the_streams():
     a, b = own_batch("backfill", "x y"), own_batch("on demand", ["x", "y"])
     assert a < 0 and b < 0 and a != b
     assert own_batch("backfill", "y  x") == a and -2 ** 63 <= a
+
+
+def test_late_events_keep_no_table_of_all_records(spark, tmp_path, monkeypatch):
+    from murmura.catalog import words
+
+    kept = []
+    monkeypatch.setattr(words, "materialize", lambda df, label: kept.append(label) or df)
+    spark.range(56).selectExpr(
+        "id AS event_id", "timestamp'2024-01-09 10:00:00' + make_interval(0, 0, 0, 10) * "
+        "CAST(id >= 28 AS INT) AS ts", "id % 4 AS user_id", "'error' AS event_type",
+        "1.0D AS value", """'{"k": 1}' AS props""").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT 0L AS doc_id, 'some' AS text, 'en' AS lang").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    found = {(r.postedDate, r.term): (r["count"], r.late)
+             for r in words.late_events(spark, str(tmp_path)).collect()}
+    assert not kept
+    assert found == {("2024-01-09", t): (24, 4) for t in ("#error", "#t1", "some")}
