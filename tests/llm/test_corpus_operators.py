@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from murmura.llm import embedding_dedup, language_model, ngram_jaccard, quality_classifier
 from murmura.llm.components import components
+from murmura.llm.word_keys import word_keys
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, n int"
 
@@ -218,3 +220,13 @@ def test_labels_that_differ_in_marks_alone_do_not_link(spark):
     found = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.link_vectors(
         spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
     assert found == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (0, 4)}
+
+
+def test_language_model_hashes_words_as_plain_text_splits_them():
+    texts = ["pad", None, "", " \t", "One one ONE oNe\x1c", "a\x0bb\x0cc\rd\ne f", "É é", "Q" * 200 + " q", "q" * 200]
+    keys, sizes = word_keys(pa.array(texts, pa.string()).slice(1))
+    plain = [[*(t or "").encode().lower().split(), b"\n"] for t in texts[1:]]
+    assert sizes.tolist() == [len(row) for row in plain]
+    pairs = set(zip(keys.tolist(), (w for row in plain for w in row), strict=True))
+    assert len(pairs) == len({k for k, _ in pairs}) == len({w for _, w in pairs})
+    assert len(word_keys(pa.array([], pa.string()))[0]) == 0
