@@ -75,8 +75,8 @@ def word_tokenizer_path() -> str:
 class Pieces(Recent):
     """Piece -> ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
-        super().__init__()
+    def __init__(self, path: str, keep: int = KEEP):
+        super().__init__(keep)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -106,6 +106,6 @@ class Pieces(Recent):
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> Pieces:
+def pieces(path: str, keep: int = KEEP) -> Pieces:
     """One per worker process and tokenizer file."""
-    return Pieces(path)
+    return Pieces(path, keep)

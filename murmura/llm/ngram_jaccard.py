@@ -49,15 +49,17 @@ from murmura.llm.common import (
     input_bytes, map_array, save_array, shared_folder_for, slices, table,
 )
 from murmura.llm.components import components
+from murmura.llm.word_keys import TEXTS, mixed, word_keys
 from murmura.runtime import materialize
 
 WORDS = 5
 PERCENT = 75
 BUCKET_BYTES = 24 << 20
-TEXTS = 4 << 20
-"""Bytes of text whose shingles are looked up together."""
 """Bytes of text per bucket of shingle counts and of inverted lists."""
-FLUSH = 4_000_000
+LOOKED_UP = 4 << 20
+"""Bytes of text whose shingles are looked up together."""
+FLUSH = 1_000_000
+"""Shingles or list entries that a task holds before it hands them on."""
 CHUNK = 1_024
 """Members of a chunk of an inverted list."""
 SALT_EVERY = 20_000
@@ -67,42 +69,22 @@ LIGHT_MOST = 12
 PIVOT_ROUNDS = 3
 OFFSET_BITS = 40
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-KEEP_WORDS = 500_000
-
 
-class WordHashes(dict):
-    """Word bytes -> 64-bit hash; remembers at most KEEP_WORDS words."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= KEEP_WORDS:
-                self.clear()
-            self[word] = value
-        return value
-
-
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    keys, counts = word_keys(texts)
+    ends = np.cumsum(counts) - 1  # the last key of a text is its end
+    return [shingle_set(keys[end - n + 1:end], size) for n, end in zip(counts.tolist(), ends.tolist())]
 
 
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-def shingle_set(text: str | None, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles. bytes.lower changes A-Z only."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
+    if not len(hashes):
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    width = min(size, len(words))
-    sums = np.full(len(words) - width + 1, width, np.uint64)
+    width = min(size, len(hashes))
+    sums = np.full(len(hashes) - width + 1, width, np.uint64)
     for i in range(width):
-        sums = sums * MULTIPLIER + hashes[i:len(words) - width + 1 + i]
+        sums = sums * MULTIPLIER + hashes[i:len(hashes) - width + 1 + i]
     return np.unique(mixed(sums))
 
 
@@ -156,10 +138,9 @@ def scanner(bits: int, size: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held = [], 0
-        for batch in batches:
+        for batch in slices(batches, 1, TEXTS):
             sizes, signatures = [], []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(text, size)
+            for found in shingle_sets(batch.column(1), size):
                 sizes.append(len(found))
                 signatures.append(xxhash.xxh3_128_digest(found.tobytes()))
                 keys.append(found >> np.uint64(32 - bits))
@@ -280,11 +261,12 @@ def set_writer(folder: str, bits: int, rep_buckets: int, size: int, percent: int
             return batch_of([], [(i, *(v[p].tobytes() for v in columns))
                                  for i, p in parts])
 
-        for batch in slices(batches, 1, TEXTS):
-            wanted = [text.as_py() for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1))
-                      if doc_id is not None
-                      and in_sorted(reps[doc_id % rep_buckets], np.array([doc_id]))[0]]
-            founds = [f for f in (shingle_set(text, size) for text in wanted) if len(f)]
+        for batch in slices(batches, 1, LOOKED_UP):
+            wanted = [doc_id is not None and bool(in_sorted(reps[doc_id % rep_buckets], np.array([doc_id]))[0])
+                      for doc_id in batch.column(0).to_pylist()]
+            texts = batch.filter(pa.array(wanted, pa.bool_()))
+            founds = [f for part in slices([texts], 1, TEXTS) for f in shingle_sets(part.column(1), size)
+                      if len(f)]
             for found, df in zip(founds, counts.of_all(founds)):
                 n = len(found)
                 need = at_least(n, percent)

@@ -37,6 +37,8 @@ GROUP_DOCS = 4_000
 GROUP_BYTES = 16 << 20
 """Bytes of text of a group at most, on average."""
 END_ID = 2
+KEEP = 100_000
+"""Pieces of a generation of a worker's memory, less than elsewhere: groups are packed in the same workers."""
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_group long"
 IDS = ", ids array<int>"
 
@@ -44,7 +46,7 @@ IDS = ", ids array<int>"
 def cutter(path: str, end_id: int, capacity: int, groups: int, seed: int, with_ids: bool):
     """Arrow batches of (doc_id, text) to one row per piece."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = pieces(path), np.array([end_id], "<u4").tobytes()
+        known, end = pieces(path, KEEP), np.array([end_id], "<u4").tobytes()
         task, count = TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_OUT):

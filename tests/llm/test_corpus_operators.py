@@ -230,3 +230,25 @@ def test_language_model_hashes_words_as_plain_text_splits_them():
     pairs = set(zip(keys.tolist(), (w for row in plain for w in row), strict=True))
     assert len(pairs) == len({k for k, _ in pairs}) == len({w for _, w in pairs})
     assert len(word_keys(pa.array([], pa.string()))[0]) == 0
+
+
+def test_shingles_of_whole_texts_equal_plain_sets():
+    texts = [None, "", "One two", "one\tTWO", "a b c d e f a b c d e", "A b c\x0bd e f a", "a b c d\x1ce f"]
+    plain = []
+    for text in texts:
+        words = (text or "").encode().lower().split()
+        width = min(5, len(words))
+        plain.append({(width, *words[i:i + width]) for i in range(len(words) - width + 1)} if words else set())
+    found = ngram_jaccard.shingle_sets(pa.array(texts, pa.string()))
+    assert [len(f) for f in found] == [len(p) for p in plain]
+    common = [[len(set(a.tolist()) & set(b.tolist())) for b in found] for a in found]
+    assert common == [[len(a & b) for b in plain] for a in plain]
+
+
+def test_join_hands_its_shingles_on_when_it_holds_enough(monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "FLUSH", 50)
+    texts = [" ".join(f"w{i}x{j}" for j in range(24)) for i in range(10)]
+    batch = pa.record_batch([pa.array(range(10), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    blocks = [b.filter(b.column("data").is_valid()) for b in ngram_jaccard.scanner(3, 5)(iter([batch]))]
+    keys = [sum(len(ngram_jaccard.unpacked(d)) for d in b.column("data").to_pylist()) for b in blocks]
+    assert sum(keys) == 200 and max(keys) <= 60

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from murmura.llm import bpe_automaton, chat_format, packing, quality_rules, token_counts, token_output
-from murmura.llm.encoding import word_tokenizer_path
+from murmura.llm.encoding import pieces, word_tokenizer_path
 from murmura.runtime import scratch_path
 
 TEXTS = [None, "", "   ", "Hello, World! it's 12 o'clock", "a <|endoftext|> b", "x" * 3000,
@@ -172,3 +172,10 @@ def test_chat_texts_come_back(spark):
         assert "".join(s.text for s in r.segments) == r.formatted
     assert found[1].valid_order and not found[2].valid_order and found[3].first_bad_turn == 3
     assert chat_format.digests(chat_format.format_conversations(rows.limit(0))).count() == 0
+
+
+def test_pieces_are_forgotten_beyond_the_number_to_keep():
+    known, text = pieces(word_tokenizer_path(), 3), "one two three four, five six one Two seven. eight nine ten"
+    want = known.library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(known.encode(text), "<u4").tolist() == want
+    assert len(known) <= 4 and len(known.older) <= 4
