@@ -9,6 +9,9 @@ library sees every different word and not every word.
 from __future__ import annotations
 
 import re
+import string
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +23,8 @@ KEEP = 400_000
 LONGEST_KEPT = 64
 """Characters of the longest piece that is kept; longer ones are encoded each time."""
 STOPS = ",."
+MARKS = "".join(c for c in string.punctuation if c not in "<|>")
+"""Marks that part from a letter before them at a piece's end; ``<|>`` may end a special token."""
 LATIN_WORD = re.compile("( ?)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 """Letters of one case pair each, all composed: one word for every split pattern."""
 
@@ -47,8 +52,9 @@ class Recent(dict):
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
+        return self.remember(key, self.make(key) if value is None else value)
+
+    def remember(self, key: str, value: bytes) -> bytes:
         if len(key) <= LONGEST_KEPT:
             if len(self) >= self.keep:
                 self.older = dict(self)
@@ -57,13 +63,13 @@ class Recent(dict):
         return value
 
 
-def word_and_stops(piece: str) -> int:
-    """Where trailing commas and full stops begin if they follow a Latin letter, else 0.
+def word_and_stops(piece: str, marks: str = STOPS) -> int:
+    """Where trailing marks (commas and full stops) begin if they follow a Latin letter, else 0.
 
     Every split pattern of these tokenizers parts a letter from such a mark, and no character
     of theirs combines with it, so both sides may be encoded on their own.
     """
-    bare = len(piece.rstrip(STOPS))
+    bare = len(piece.rstrip(marks))
     return bare if 0 < bare < len(piece) and piece[bare - 1] < "\u0100" \
         and piece[bare - 1].isalpha() else 0
 
@@ -72,8 +78,20 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def little_endian(ids: list[int]) -> bytes:
+    """Unsigned 32-bit integers as they are written."""
+    values = array("I", ids)
+    if values.itemsize != 4 or sys.byteorder != "little":
+        return np.array(ids, "<u4").tobytes()
+    return values.tobytes()
+
+
 class Pieces(Recent):
-    """Piece -> ids as little-endian unsigned 32-bit integers."""
+    """Piece -> ids as little-endian unsigned 32-bit integers.
+
+    A word with capitals or with marks after it is made from the plain word's ids, and kept
+    itself only if the plain word was seen before, so rare words are held once.
+    """
 
     def __init__(self, path: str, keep: int = KEEP):
         super().__init__(keep)
@@ -83,19 +101,28 @@ class Pieces(Recent):
         self.model = self.library.model
         self.letters = {b: chr(c) for c, b in byte_alphabet().items()}
 
+    def __missing__(self, piece: str) -> bytes:
+        if piece in self.older or piece.isascii() and piece.isalpha() and piece.islower():
+            return super().__missing__(piece)
+        bare = word_and_stops(piece, MARKS)
+        # Lower case as by the tokenizer's normalizer.
+        word = piece[:bare] if bare else piece.lower() if LATIN_WORD.fullmatch(piece) else piece
+        if word == piece:
+            return super().__missing__(piece)
+        seen = word in self
+        value = self[word] + self[piece[bare:]] if bare else self[word]
+        return self.remember(piece, value) if seen else value
+
     def make(self, piece: str) -> bytes:
-        bare = word_and_stops(piece)
-        if bare:
-            return self[piece[:bare]] + self[piece[bare:]]
+        """Ids of a lower-case Latin word or of any piece without marks at its end."""
         if LATIN_WORD.fullmatch(piece):
-            lower = piece.lower()  # as the tokenizer's normalizer does
-            if lower != piece:
-                return self[lower]
             if not piece.isascii():
-                lower = "".join(map(self.letters.__getitem__, piece.encode()))
+                piece = "".join(map(self.letters.__getitem__, piece.encode()))
             # One word for the split pattern: the library's model may take it at once.
-            return np.array([t.id for t in self.model.tokenize(lower)], "<u4").tobytes()
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = [t.id for t in self.model.tokenize(piece)]
+        else:
+            ids = self.library.encode(piece, add_special_tokens=False).ids
+        return little_endian(ids)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text; null counts as empty."""

@@ -30,15 +30,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.llm.common import ROWS_OUT, lists, table
-from murmura.llm.encoding import pieces, word_tokenizer_path
+from murmura.llm.encoding import KEEP, pieces, word_tokenizer_path
 
 CAPACITY = 4096
 GROUP_DOCS = 4_000
 GROUP_BYTES = 16 << 20
 """Bytes of text of a group at most, on average."""
 END_ID = 2
-KEEP = 100_000
-"""Pieces of a generation of a worker's memory, less than elsewhere: groups are packed in the same workers."""
+KEEP_WITH_IDS = 100_000
+"""Pieces of a generation of a worker's memory where ids are handed on, less than elsewhere: groups
+of ids are packed in the same workers. Groups without ids are a few MB."""
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_group long"
 IDS = ", ids array<int>"
 
@@ -46,7 +47,8 @@ IDS = ", ids array<int>"
 def cutter(path: str, end_id: int, capacity: int, groups: int, seed: int, with_ids: bool):
     """Arrow batches of (doc_id, text) to one row per piece."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, end = pieces(path, KEEP), np.array([end_id], "<u4").tobytes()
+        known = pieces(path, KEEP_WITH_IDS if with_ids else KEEP)
+        end = np.array([end_id], "<u4").tobytes()
         task, count = TaskContext.get().partitionId(), 0
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_OUT):

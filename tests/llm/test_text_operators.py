@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from murmura.llm import bpe_automaton, chat_format, packing, quality_rules, token_counts, token_output
-from murmura.llm.encoding import pieces, word_tokenizer_path
+from murmura.llm.encoding import Pieces, pieces, word_tokenizer_path
 from murmura.runtime import scratch_path
 
 TEXTS = [None, "", "   ", "Hello, World! it's 12 o'clock", "a <|endoftext|> b", "x" * 3000,
@@ -179,3 +179,23 @@ def test_pieces_are_forgotten_beyond_the_number_to_keep():
     want = known.library.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(known.encode(text), "<u4").tolist() == want
     assert len(known) <= 4 and len(known.older) <= 4
+
+
+def test_marked_words_are_made_from_plain_words():
+    known = Pieces(word_tokenizer_path(), 1000)
+    words = [f"{a}{b}word" for a in "abcde" for b in "klmn"]
+    text = " ".join(f"{w}{m}" for w, m in zip(words, ["$$$", "&&&", "***", "###", ".***"] * 4))
+    assert np.frombuffer(known.encode(text.title()), "<u4").tolist() == word_ids(text, 0)[:-1]
+    # Rare words are held once, not with each of their marks and capitals too.
+    assert set(known) == {*words, "$$$", "&&&", "***", "###", ".***"}
+
+
+def test_pieces_of_random_marks_equal_the_library():
+    rng = np.random.default_rng(5)
+    parts = ["the", "Café", "İ", "ÀÉ", "don't", "'s", "'", "$$", "***", "<|endoftext|>", "|>", "<|", ">", "=",
+             "̸", "́", "12", ".", ",", "(", ")", "_", "`", "—", " ", " ", " ", "\x0b", "漢", "Σ"]
+    known, library = Pieces(word_tokenizer_path(), 9), Tokenizer.from_file(word_tokenizer_path())
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, 12))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(known.encode(text), "<u4").tolist() == want, repr(text)
