@@ -245,3 +245,33 @@ def test_layout_of_several_blocks(spark, monkeypatch):
     gap = lambda a, b: np.hypot(*np.subtract(placed[a], placed[b]))
     inside = np.mean([gap(*p) for p in combinations(["a1", "a2", "a3", "a4"], 2)])
     assert inside < np.mean([gap(f"a{i}", f"b{j}") for i in range(1, 5) for j in range(1, 5)])
+
+
+def _ring_of_groups(spark):
+    pairs = [(f"n{g}-{i}", f"n{g}-{j}") for g in range(6) for i in range(6) for j in range(i)]
+    return edges(spark, pairs + [(f"n{g}-0", f"n{(g + 1) % 6}-1") for g in range(6)])
+
+
+def test_rounds_of_moves_carry_numbers_and_meet_links_once(spark, monkeypatch):
+    seen, one_round = [], graph._one_round
+
+    def watched(around, state, *rest):
+        seen.append((dict(around.dtypes), dict(state.dtypes)))
+        return one_round(around, state, *rest)
+
+    monkeypatch.setattr(graph, "_one_round", watched)
+    found = graph.communities(_ring_of_groups(spark)).groupBy("community").agg(F.collect_set("id").alias("ids"))
+    assert sorted(sorted(r.ids) for r in found.collect()) == [[f"n{g}-{i}" for i in range(6)] for g in range(6)]
+    for links, state in seen:
+        assert links == {"id": "bigint", "nb": "bigint", "w": "double"}
+        assert state["community"] == "bigint"
+
+
+def test_shuffled_rounds_equal_broadcast_ones(spark, monkeypatch):
+    e = _ring_of_groups(spark).union(edges(spark, [("n0-0", "n0-0"), ("alone", "alone")])).union(
+        spark.createDataFrame([("n1-1", None, 2.0), (None, None, 1.0)], "src string, dst string, w double"))
+    want = sorted(graph.communities(e, 2.0).collect())
+    assert len({r.id for r in want}) == 37
+    for name in ("BROADCAST_ROWS", "NUMBERED_ROWS"):
+        monkeypatch.setattr(graph, name, 1)
+    assert sorted(graph.communities(e, 2.0).collect()) == want
