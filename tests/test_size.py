@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from murmura.catalog import counts as queries
@@ -43,6 +44,37 @@ def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
     assert "7), REPARTITION_BY_NUM" in plan(found)  # 70 pairs
 
 
+def test_pairs_are_packed_before_they_are_shuffled(spark, monkeypatch):
+    rows = spark.createDataFrame([("d1", ["a", "b", "c"]), (None, ["b", "a"]), ("d1", ["c", "b"])],
+                                 "postedDate string, toks array<string>")
+    found = counters.pair_counts(rows)
+    assert {(r.postedDate, r.tok1, r.tok2): r["count"] for r in found.collect()} == {
+        ("d1", "a", "b"): 1, ("d1", "a", "c"): 1, ("d1", "b", "c"): 2, (None, "a", "b"): 1}
+    assert "FlatMapGroupsInArrow" in plan(found) and "Generate inline" not in plan(found)
+    # Parts are handed on and added up whatever a task may hold.
+    monkeypatch.setattr(counters, "HELD_PAIRS", 6)
+    monkeypatch.setattr(counters, "HELD_WORDS", 5)
+    monkeypatch.setattr(counters, "ROWS", 1)
+    sets = [[f"w{j:02}" for j in range(i % 7, 9)] for i in range(30)]
+    batch = pa.record_batch([
+        pa.array([None if i % 3 == 0 else "k" for i in range(60)], pa.string()), pa.array([i % 4 + 1 for i in range(60)], pa.int64()),
+        pa.array(sets * 2, pa.list_(pa.string())),
+        pa.array([None] * 30 + [["x", "y"]] * 30, pa.list_(pa.string()))], ["_group", "_n", "_a", "_b"])
+    wanted = Counter()
+    for i in range(60):
+        own = combinations(sets[i % 30], 2) if i < 30 else ((t, u) for t in sets[i % 30] for u in "xy")
+        wanted.update({(None if i % 3 == 0 else "k", *pair): i % 4 + 1 for pair in own})
+    parts = list(counters._pair_counter(pa.string(), 3)(iter([batch])))
+    schema = pa.schema([("_group", pa.string()), ("tok1", pa.string()), ("tok2", pa.string()), ("count", pa.int64())])
+    got = Counter()
+    for bucket in range(3):
+        table = pa.Table.from_batches([p for p in parts if p.column(0)[0].as_py() == bucket], parts[0].schema)
+        for r in counters._pair_adder(schema)(table).to_pylist() if len(table) else []:
+            assert tuple(r.values())[:3] not in got
+            got[tuple(r.values())[:3]] = r["count"]
+    assert len(parts) > 6 and got == wanted
+
+
 def test_join_form_groups_hits_and_not_sets(spark):
     lexicon = spark.createDataFrame([("good", 0.5, 0.0), ("bad", 0.0, 0.5), ("so", 0.0, 0.05)],
                                     "word string, positive double, negative double")
