@@ -1,19 +1,24 @@
 """Plans and files that decide how queries grow, on rows of their own."""
 
 import threading
+import time
 from collections import Counter
+from datetime import datetime
 from itertools import combinations
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from murmura import runtime
 from murmura.catalog import counts as queries
+from murmura.catalog import graphs
 from murmura.functions.text import simple_tokens
 from murmura.operators import counters, sentiment
 from murmura.plans.ingest import Ingest
 from murmura.runtime import at_once
-from murmura.sources import counter_store
+from murmura.sources import activities as files
+from murmura.sources import counter_store, tables
 from murmura.streaming import windowed_entity_counts
 
 PLAIN = {"stop_words": ["the"], "tokenizer": simple_tokens}
@@ -75,6 +80,38 @@ def test_pairs_are_packed_before_they_are_shuffled(spark, monkeypatch):
     assert len(parts) > 6 and got == wanted
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    names = [found.apply(i).getName() for i in range(found.size())]
+    return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+
+def test_written_tables_drop_their_shuffle_files(spark, tmp_path):
+    held, before = shuffle_files(spark), spark.conf.get(runtime.CLEANUP)
+    rows = records(spark, 500).repartition(3, "id").withColumn("postedDate", F.substring("postedTime", 1, 10))
+    assert runtime.materialize(rows, "rows").toArrow().num_rows == 500
+    tables.write_posts(rows, str(tmp_path / "posts"))
+    for batch in range(2):
+        tables.write_batch(rows, str(tmp_path / "batches"), batch, rebalance=True)
+    tables.compact_table(spark, str(tmp_path / "batches"), 1)
+    counter_store.merge_counts(str(tmp_path / "store"), rows.groupBy("postedDate").count(), 0, datetime(2024, 1, 1))
+    files.write_activities(rows, str(tmp_path / "json"))
+    left = time.time() + 20
+    while shuffle_files(spark) - held and time.time() < left:
+        time.sleep(0.5)
+    assert not shuffle_files(spark) - held
+    assert spark.conf.get(runtime.CLEANUP) == before
+
+
+def test_slice_is_placed_before_it_is_tokenized(spark, small, monkeypatch):
+    seen, write = [], graphs.tables.write_posts
+    monkeypatch.setattr(graphs.tables, "write_posts",
+                        lambda posts, *rest, **kw: (seen.append((plan(posts), kw)), write(posts, *rest, **kw)))
+    assert graphs.loaded_slice(spark, small).count() > 0
+    (text, kw), = seen
+    assert "RebalancePartitions" in text and kw == {"rebalance": False}
+
+
 def test_join_form_groups_hits_and_not_sets(spark):
     lexicon = spark.createDataFrame([("good", 0.5, 0.0), ("bad", 0.0, 0.5), ("so", 0.0, 0.05)],
                                     "word string, positive double, negative double")
